@@ -15,76 +15,54 @@ def path_bucket(path: str) -> Column:
     return F.substring(F.sha2(F.col(path).cast("string"), 256), 1, BUCKET_HEX)
 
 
-def _leaves(
-    events: DataFrame, keys: list[str], path: list[str], chunk: str, position: str, aggs: list[Column]
-) -> DataFrame:
-    placed = F.collect_list(F.struct(position, "sha256"))
-    return events.groupBy(*keys, *path, chunk).agg(
-        ordered_digest(placed, "sha256").alias("digest"), *aggs
-    )
-
-
-def _roots(leaves: DataFrame, keys: list[str], path: str, chunk: str) -> DataFrame:
-    in_bucket = F.collect_list(F.struct(path, chunk, "digest"))
-    buckets = leaves.groupBy(*keys, path_bucket(path).alias("bucket")).agg(
-        ordered_digest(in_bucket, "digest").alias("digest")
-    )
-    in_tick = F.collect_list(F.struct("bucket", "digest"))
-    return buckets.groupBy(*keys).agg(ordered_digest(in_tick, "digest").alias("seal"))
-
-
 def tick_seal(
-    events: DataFrame, keys: list[str], path: str, chunk: str, position: str
-) -> DataFrame:
-    """One digest per group over all its line hashes in file order.
-
-    A tree, so that no group is gathered whole: lines of one file chunk, then the chunks of a
-    bucket of files, then at most 4096 buckets. Any line changed, lost or moved changes the
-    seal. `chunk` must not decrease along `position`.
-    """
-    leaves = _leaves(events, keys, [path], chunk, position, [F.count("*").alias("n")])
-    roots = _roots(leaves, keys, path, chunk)
-    totals = leaves.groupBy(*keys).agg(F.sum("n").alias("events"))
-    return totals.join(roots, keys)
-
-
-def tick_rollup(
     events: DataFrame,
     keys: list[str],
     *,
     path: str = "file_path",
-    session: str = "session_id",
     chunk: str = "chunk",
     position: str = "byte_offset",
     size: str = "byte_length",
 ) -> DataFrame:
-    """Events, bytes, sessions, files and seal per group.
+    """Events, bytes, files and one digest over all line hashes in file order, per group.
 
-    Everything is taken from the leaves of the seal tree, which are one row per file chunk,
-    so the distinct counts never see single events.
+    The digest is a tree, so that no group is gathered whole: lines of one file chunk, then
+    the chunks of a bucket of files, then at most 4096 buckets. Any line changed, lost or
+    moved changes the seal. `chunk` must not decrease along `position`.
     """
-    leaves = _leaves(
-        events,
-        keys,
-        [path],
-        chunk,
-        position,
-        [
-            F.count("*").alias("n"),
-            F.sum(size).alias("size"),
-            F.collect_set(session).alias("sessions"),
-        ],
+    leaves = events.groupBy(*keys, path, chunk).agg(
+        F.count("*").alias("n"),
+        F.sum(size).alias("size"),
+        ordered_digest(F.collect_list(F.struct(position, "sha256")), "sha256").alias("digest"),
     )
-    totals = leaves.groupBy(*keys).agg(
+    buckets = leaves.groupBy(*keys, path_bucket(path).alias("bucket")).agg(
+        F.sum("n").alias("n"),
+        F.sum("size").alias("size"),
+        F.size(F.collect_set(path)).cast("bigint").alias("files"),
+        ordered_digest(F.collect_list(F.struct(path, chunk, "digest")), "digest").alias("digest"),
+    )
+    return buckets.groupBy(*keys).agg(
         F.sum("n").alias("events"),
         F.sum("size").alias("bytes"),
-        F.count_distinct(path).alias("files"),
+        F.sum("files").alias("files"),
+        ordered_digest(F.collect_list(F.struct("bucket", "digest")), "digest").alias("seal"),
     )
+
+
+def tick_rollup(
+    events: DataFrame, keys: list[str], *, session: str = "session_id", **tree: str
+) -> DataFrame:
+    """The seal's columns and the number of distinct sessions.
+
+    One file may hold many sessions and one session many files, so sessions are counted on
+    their own, from rows made distinct before the shuffle.
+    """
     sessions = (
-        leaves.select(*keys, F.explode("sessions").alias("session"))
+        events.select(*keys, session)
+        .where(F.col(session).isNotNull())
         .distinct()
         .groupBy(*keys)
         .agg(F.count("*").alias("sessions"))
     )
-    rolled = totals.join(_roots(leaves, keys, path, chunk), keys).join(sessions, keys, "left")
+    rolled = tick_seal(events, keys, **tree).join(sessions, keys, "left")
     return rolled.withColumn("sessions", F.coalesce("sessions", F.lit(0).cast("bigint")))

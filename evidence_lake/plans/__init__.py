@@ -1,0 +1,12 @@
+"""Query catalogue. Importing the modules below registers their queries."""
+
+from . import capture  # noqa: F401
+from .catalog import ORACLES, QUERIES
+
+
+def all_queries():
+    return dict(QUERIES)
+
+
+def all_oracles():
+    return dict(ORACLES)

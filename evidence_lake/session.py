@@ -37,6 +37,7 @@ def local_session(cores: int | str = "*", app: str = "evidence_lake") -> SparkSe
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in RUNTIME_CONF.items():
