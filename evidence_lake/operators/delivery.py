@@ -16,6 +16,7 @@ from ..schema import (
     MAX_ATTEMPTS,
     TICK_SECONDS,
 )
+from ..sources.ledger import latest_offsets
 
 
 def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -128,7 +129,8 @@ def append_new(
     try:
         present = spark.read.parquet(path).select("batch_id", *partition)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        # Nothing was written yet, or only empty batches.
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
     else:
         batches = not_delivered(batches, present, *partition)
@@ -149,10 +151,9 @@ def write_batches(spark: SparkSession, batches: DataFrame, path: str) -> None:
 def park(
     spark: SparkSession, envelopes: DataFrame, reason: Column, path: str, parked_ns: Column
 ) -> None:
-    """Set batches aside with the reason; the body keeps its batch id."""
-    body = F.to_json(
-        F.struct("batch_id", "source_id", "agent_id", "endpoint_name", "endpoint_id", "events")
-    )
+    """Set batches aside with the reason; the body keeps its batch id and is complete."""
+    outcome = ("attempts", "retries", "last_status", "outcome", "reason")
+    body = F.to_json(F.struct(*[c for c in envelopes.columns if c not in outcome]))
     letters = envelopes.select(
         parked_ns.cast("bigint").alias("parked_ns"),
         "batch_id",
@@ -162,6 +163,11 @@ def park(
     append_new(spark, letters, path)
 
 
+def unpack_bodies(letters: DataFrame, schema: str) -> DataFrame:
+    """Parked bodies as envelopes again."""
+    return letters.select(F.from_json("body", schema).alias("_body")).select("_body.*")
+
+
 def commit_points(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per file the furthest handled event. Heartbeats have no file and are left out."""
     keys = keys or ["file_path"]
@@ -180,17 +186,28 @@ def commit_points(events: DataFrame, keys: list[str] | None = None) -> DataFrame
     )
 
 
-def commit_offsets(handled: DataFrame, path: str, now_ns: int) -> None:
-    """Append the commit point of every file in `handled` to the ledger."""
-    points = commit_points(handled).select(
+def append_points(points: DataFrame, path: str, now_ns: int) -> None:
+    """Append commit points to the ledger."""
+    points.select(
         "file_path",
         F.lit(None).cast("string").alias("file_id"),
         "byte_offset",
         "last_line_number",
         "last_sha256",
         F.lit(now_ns).cast("bigint").alias("last_flushed_ns"),
-    )
-    points.write.mode("append").parquet(path)
+    ).write.mode("append").parquet(path)
+
+
+def commit_offsets(handled: DataFrame, path: str, now_ns: int) -> None:
+    """Append the commit point of every file in `handled` to the ledger."""
+    append_points(commit_points(handled), path, now_ns)
+
+
+def compact_offsets(spark: SparkSession, path: str, target: str) -> None:
+    """Write the newest entry per file to a new table; the caller switches over to it."""
+    latest_offsets(read_offsets(spark, path)).select(
+        "file_path", "file_id", "byte_offset", "last_line_number", "last_sha256", "last_flushed_ns"
+    ).write.mode("errorifexists").parquet(target)
 
 
 def read_offsets(spark: SparkSession, path: str) -> DataFrame:
@@ -203,6 +220,7 @@ def read_offsets(spark: SparkSession, path: str) -> DataFrame:
 def read_dead_letter_files(spark: SparkSession, path: str) -> DataFrame:
     """Parked bodies stored as one JSON document per line, `{"reason", "body"}`.
 
+    The time of parking is in the name of a file with one document, else in the document.
     Only files directly under `path` count; what was archived lies in a folder below.
     """
     lines = spark.read.text(path).select(
@@ -213,7 +231,10 @@ def read_dead_letter_files(spark: SparkSession, path: str) -> DataFrame:
     doc = F.try_parse_json("value")
     return lines.select(
         "file_path",
-        F.regexp_extract("file_name", r"^(\d+)_", 1).try_cast("bigint").alias("parked_ns"),
+        F.coalesce(
+            F.regexp_extract("file_name", r"^(\d+)_", 1).try_cast("bigint"),
+            F.try_variant_get(doc, "$.parked_ns", "bigint"),
+        ).alias("parked_ns"),
         F.try_variant_get(doc, "$.body.batch_id", "string").alias("batch_id"),
         F.try_variant_get(doc, "$.reason", "string").alias("reason"),
         F.to_json(F.try_variant_get(doc, "$.body", "variant")).alias("body"),
