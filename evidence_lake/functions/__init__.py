@@ -1,6 +1,6 @@
 from .hashing import batch_digest, event_key, line_sha256, ordered_digest
 from .jsonl import is_json_object, parse_error_payload
-from .redaction import redact, rule_counts
+from .redaction import redact
 from .ticks import tick_end_ns, tick_index, tick_start_ns
 from .timestamps import parse_ts_ns
 
@@ -13,7 +13,6 @@ __all__ = [
     "parse_error_payload",
     "parse_ts_ns",
     "redact",
-    "rule_counts",
     "tick_end_ns",
     "tick_index",
     "tick_start_ns",

@@ -59,18 +59,22 @@ def park_reason(outcome: Column, status: Column) -> Column:
     )
 
 
-def delivery_outcomes(attempts: DataFrame) -> DataFrame:
-    """Per batch: attempts, retries, last status and what became of it."""
+def delivery_outcomes(attempts: DataFrame, *carry: str) -> DataFrame:
+    """Per batch: attempts, retries, last status and what became of it.
+
+    Name in `carry` columns that are the same for all attempts of a batch.
+    """
     judged = attempts.withColumn(
         "outcome", classify_response(F.col("status"), F.col("attempt"))
     )
-    final = judged.groupBy("batch_id").agg(
+    final = judged.groupBy("batch_id", *carry).agg(
         F.count("*").alias("attempts"),
         F.count_if(F.col("outcome") == "retry").alias("retries"),
         F.max_by(F.struct("status", "outcome"), "attempt").alias("_last"),
     )
     return final.select(
         "batch_id",
+        *carry,
         "attempts",
         "retries",
         F.col("_last.status").alias("last_status"),
@@ -134,6 +138,9 @@ def append_new(
             raise
     else:
         batches = not_delivered(batches, present, *partition)
+    if partition:
+        # Few files per partition, yet a large partition is still written by many tasks.
+        batches = batches.hint("rebalance", *partition)
     batches.write.mode("append").partitionBy(*partition).parquet(path)
 
 

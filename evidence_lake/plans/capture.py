@@ -23,8 +23,9 @@ from ..sources.lines import scan_lines, scan_new_lines
 from .catalog import query
 from .inputs import (
     CAPTURE,
+    CONVERSATION_SQL,
     EVENT_LOG_SQL,
-    TRANSCRIPT_SQL,
+    LOG_SQL,
     event_log,
     file_key,
     table,
@@ -119,7 +120,7 @@ def events_per_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "tick_seal",
     f"""
-WITH {TRANSCRIPT_SQL},
+WITH {CONVERSATION_SQL},
 sealed AS (
   SELECT *, conv_id % 10 AS endpoint, conv_id // 25 AS tick_index, conv_id AS path,
          part AS chunk, turn AS position
@@ -145,16 +146,16 @@ def sealed_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINE_COLUMNS_SQL = """
-SELECT conv_id, part, line_number, byte_offset, byte_end, byte_length, sha256 FROM ranged
+SELECT log, part, line_number, byte_offset, byte_end, byte_length, sha256 FROM ranged
 """
 
 
-@query("scan_lines", f"WITH {TRANSCRIPT_SQL} {LINE_COLUMNS_SQL}")
+@query("scan_lines", f"WITH {LOG_SQL} {LINE_COLUMNS_SQL}")
 def scanned_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts written as files, then scanned with byte ranges."""
     lines = scan_lines(spark, write_transcripts(spark, sf_dir), path_glob="*.txt")
     return lines.select(
-        file_key("conv_id"),
+        file_key("log"),
         file_key("part"),
         "line_number",
         "byte_offset",
@@ -189,14 +190,10 @@ def ranged_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Ranges over the whole conversation, not per rolled file.
-WHOLE_SQL = TRANSCRIPT_SQL.replace("PARTITION BY conv_id, part", "PARTITION BY conv_id")
-
-
 @query(
     "line_ranges",
     f"""
-WITH {WHOLE_SQL}
+WITH {CONVERSATION_SQL}
 SELECT conv_id, turn, line_number, byte_offset, byte_end, byte_length, sha256 FROM ranged
 """,
 )
@@ -207,10 +204,10 @@ def line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "resume_scan",
     f"""
-WITH {TRANSCRIPT_SQL},
-half AS (SELECT conv_id, part, max(line_number) // 2 AS done FROM ranged GROUP BY conv_id, part)
-SELECT conv_id, part, line_number, byte_offset, byte_end, byte_length, sha256
-FROM ranged JOIN half USING (conv_id, part) WHERE line_number > done
+WITH {LOG_SQL},
+half AS (SELECT log, part, max(line_number) // 2 AS done FROM ranged GROUP BY log, part)
+SELECT log, part, line_number, byte_offset, byte_end, byte_length, sha256
+FROM ranged JOIN half USING (log, part) WHERE line_number > done
 """,
 )
 def resumed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +230,7 @@ def resumed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     new = scan_new_lines(spark, path, latest_offsets(ledger), path_glob="*.txt")
     return new.select(
-        file_key("conv_id"),
+        file_key("log"),
         file_key("part"),
         "line_number",
         "byte_offset",
@@ -566,7 +563,7 @@ def redact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "commit_points",
     f"""
-WITH {WHOLE_SQL}
+WITH {CONVERSATION_SQL}
 SELECT conv_id, max(byte_end) AS byte_offset, arg_max(line_number, byte_end) AS last_line_number,
        arg_max(sha256, byte_end) AS last_sha256
 FROM ranged GROUP BY conv_id
@@ -605,7 +602,7 @@ def row_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Every turn 3 was lost on the way and every turn 2 of an even conversation came twice.
 DAMAGED_SQL = f"""
-{WHOLE_SQL},
+{CONVERSATION_SQL},
 damaged AS (
   SELECT conv_id, turn, 0 AS copy, byte_offset, byte_end FROM ranged WHERE turn % 4 <> 3
   UNION ALL
@@ -678,12 +675,12 @@ def sticky_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "union_sources",
     f"""
-WITH {EVENT_LOG_SQL}, {TRANSCRIPT_SQL},
+WITH {EVENT_LOG_SQL}, {LOG_SQL},
 hosts AS (SELECT hostname, max(ts_ns) AS at_ns FROM ev GROUP BY hostname)
 SELECT event_id, 'tool_event' AS event_type, subtype, hostname, tick_index, line_number,
        sha256, CAST(NULL AS VARCHAR) AS project_slug FROM ev
 UNION ALL
-SELECT sha256('transcripts|fleet|/t/' || conv_id || '/' || part || '.jsonl|' || byte_offset
+SELECT sha256('transcripts|fleet|/t/' || log || '/' || part || '.jsonl|' || byte_offset
               || '|' || sha256),
        'tool_event', 'role:' || split_part(value, ':', 1), 'fleet', {CAPTURED_NS} // 600000000000,
        line_number, sha256, 'project-' || (conv_id % 5) FROM ranged
@@ -696,30 +693,28 @@ def united_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events, transcripts and heartbeats in one table."""
     events = event_log(spark, sf_dir)
     size = F.octet_length("value").cast("bigint")
-    # A rolled file is short, so a plain window over it will do.
+    # The size of a log file has a bound, so a plain window over it will do.
     earlier = (
-        Window.partitionBy("conv_id", "part")
-        .orderBy("turn")
+        Window.partitionBy("log", "part")
+        .orderBy("conv_id", "turn")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    lines = (
-        transcript(spark, sf_dir)
-        .select(
-            "*",
-            F.count("*").over(earlier).alias("_lines"),
-            F.coalesce(F.sum(size + 1).over(earlier), F.lit(0).cast("bigint")).alias("byte_offset"),
-        )
-        .select(
+    placed = transcript(spark, sf_dir).select(
+        "*",
+        (F.count("*").over(earlier) + 1).alias("line_number"),
+        F.coalesce(F.sum(size + 1).over(earlier), F.lit(0).cast("bigint")).alias("byte_offset"),
+    )
+    lines = placed.select(
         "conv_id",
         "value",
         F.concat(
-            F.lit("/t/"), F.col("conv_id"), F.lit("/"), F.col("part"), F.lit(".jsonl")
+            F.lit("/t/"), F.col("log"), F.lit("/"), F.col("part"), F.lit(".jsonl")
         ).alias("file_path"),
-        (F.col("_lines") + 1).alias("line_number"),
+        "line_number",
         "byte_offset",
         (F.col("byte_offset") + size + 1).alias("byte_end"),
         size.alias("byte_length"),
-    ))
+    )
     transcripts = to_canonical(
         lines,
         CAPTURE,

@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.ticks import floor_div, tick_index
 from ..operators import delivery
-from ..operators.packing import batch_summary, envelopes, load_state, pack, queue_totals
+from ..operators.packing import (
+    batch_summary,
+    envelopes,
+    load_state,
+    pack,
+    queue_totals,
+    with_batch_id,
+)
 from ..session import shared_dir
 from .catalog import query
 from .inputs import CAPTURE, SIZED_SQL, sized_events
@@ -146,12 +153,10 @@ WHERE subtype <> 'error' GROUP BY batch_id
 )
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every batch arrives twice and error events carry a type the receiver refuses."""
-    kept = packed_events(spark, sf_dir).select(
-        *KEYS,
-        "event_id",
-        F.when(F.col("subtype") == "error", "debug").otherwise(F.col("event_type")).alias("event_type"),
+    typed = packed_events(spark, sf_dir).withColumn(
+        "event_type", F.when(F.col("subtype") == "error", "debug").otherwise(F.col("event_type"))
     )
-    named = kept.join(_batches(spark, sf_dir).select(*KEYS, "batch_id"), KEYS)
+    named = with_batch_id(typed, STREAM, ["event_id", "event_type"])
     twice = named.withColumn("attempt", F.explode(F.array(F.lit(0), F.lit(1))))
     return delivery.accepted_counts(twice)
 
@@ -219,37 +224,39 @@ outcomes AS (
 """
 
 
-def _outcomes(batches: DataFrame) -> DataFrame:
-    attempts = batches.select("batch_id", F.posexplode(_answers(F.col("slot_events"))).alias("attempt", "status"))
-    return delivery.delivery_outcomes(attempts)
+def _outcomes(batches: DataFrame, *carry: str) -> DataFrame:
+    answers = F.posexplode(_answers(F.col("slot_events"))).alias("attempt", "status")
+    return delivery.delivery_outcomes(batches.select("batch_id", *carry, answers), *carry)
 
 
-@query(
-    "delivery_outcomes",
-    f"WITH {ATTEMPTS_SQL} SELECT * FROM outcomes",
-)
+@query("delivery_outcomes", f"WITH {ATTEMPTS_SQL} SELECT * FROM outcomes")
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batches = _batches(spark, sf_dir)
-    return batches.select("batch_id", "events").join(_outcomes(batches), "batch_id")
+    return _outcomes(_batches(spark, sf_dir), "events")
+
+
+def sealed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes stored before delivery, as the forwarder does."""
+    path = shared_dir(spark, "sealed")
+    enveloped(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query(
     "event_outcomes",
     f"""
 WITH {ATTEMPTS_SQL}
-SELECT p.hostname, o.outcome, count(*) AS events, CAST(sum(p.event_bytes) AS BIGINT) AS bytes
+SELECT p.hostname, o.outcome, count(*) AS events, CAST(sum(p.byte_length) AS BIGINT) AS bytes
 FROM packed p JOIN batches b USING (hostname, slot_events, slot_bytes)
 JOIN outcomes o ON o.batch_id = b.batch_id GROUP BY ALL
 """,
 )
 def event_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of each host's events, over event, batch and answer."""
-    packed = packed_events(spark, sf_dir)
-    batches = _batches(spark, sf_dir)
-    events = packed.select(*KEYS, "event_bytes").join(batches.select(*KEYS, "batch_id"), KEYS)
-    judged = delivery.events_with_outcome(events, _outcomes(batches))
-    return judged.groupBy("hostname", "outcome").agg(
-        F.count("*").alias("events"), F.sum("event_bytes").alias("bytes")
+    sealed = sealed_batches(spark, sf_dir)
+    events = sealed.select("batch_id", "source_id", F.inline("events"))
+    judged = delivery.events_with_outcome(events, _outcomes(sealed))
+    return judged.groupBy(F.col("source_id").alias("hostname"), "outcome").agg(
+        F.count("*").alias("events"), F.sum("byte_length").alias("bytes")
     )
 
 
@@ -273,10 +280,8 @@ def dead_letter_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every fourth slot was replayed since; bodies of 404 answers lost their event list and
     are set aside.
     """
-    sealed = enveloped(spark, sf_dir)
-    parked = sealed.join(
-        _outcomes(sealed.select("batch_id", "slot_events")).where("reason IS NOT NULL"), "batch_id"
-    )
+    sealed = sealed_batches(spark, sf_dir)
+    parked = sealed.join(_outcomes(sealed).where("reason IS NOT NULL"), "batch_id")
     whole = F.col("reason") != "http_404"
     parked_ns = (
         F.lit(NOW_NS) + F.col("slot_events") * 1000 + F.substring("source_id", -1, 1).cast("bigint")
@@ -332,10 +337,8 @@ def replay_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_dir(spark, "replay")
     delivered, parked = f"{root}/delivered", f"{root}/dead_letters"
     archive = f"{root}/archive"
-    sealed = f"{root}/sealed"
-    enveloped(spark, sf_dir).write.parquet(sealed)
-    batches = spark.read.parquet(sealed)
-    judged = batches.join(_outcomes(batches.select("batch_id", "slot_events")), "batch_id")
+    batches = sealed_batches(spark, sf_dir)
+    judged = batches.join(_outcomes(batches), "batch_id")
     for _ in range(2):
         live = judged.where(F.col("outcome") == "delivered").withColumn("origin", F.lit("live"))
         delivery.write_batches(spark, live, delivered)

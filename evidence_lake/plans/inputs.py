@@ -2,7 +2,7 @@
 
 events stands for normalised log events: one host per ten users, one file per user in which
 event n takes the 256-byte slot n, and `props` as the raw line. conversations stands for
-session transcripts: one file per conversation, one line per turn.
+session transcripts, one line per turn: one log file for 32 conversations, rolled over by turn.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from ..session import configure, shared_dir
 from ..sources.adapters import Capture, to_canonical
 
 SLOT_BYTES = 256
-# A transcript is rolled over to a new file after this many turns.
+# A log file holds this many conversations and no more than this many turns of each, so the
+# size of a file has a bound.
+CONVERSATIONS_PER_LOG = 32
 TURNS_PER_FILE = 4096
 
 
@@ -126,19 +128,21 @@ sized AS (
 
 
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as raw lines: conv_id, part (rolled file), turn, value."""
+    """Conversation turns as raw lines with their log file (log, part)."""
     text = F.translate("text", "\r\n", "  ")
     return table(spark, sf_dir, "conversations").select(
-        "conv_id",
+        floor_div(F.col("conv_id"), CONVERSATIONS_PER_LOG).alias("log"),
         floor_div(F.col("turn"), TURNS_PER_FILE).alias("part"),
+        "conv_id",
         "turn",
         F.concat("role", F.lit(": "), text).alias("value"),
     )
 
 
-TRANSCRIPT_SQL = """
+def _ranged_sql(file: str, order: str) -> str:
+    return f"""
 lines AS (
-  SELECT conv_id, turn // 4096 AS part, turn,
+  SELECT conv_id // 32 AS log, turn // 4096 AS part, conv_id, turn,
          role || ': ' || translate(text, chr(13) || chr(10), '  ') AS value
   FROM conversations
 ),
@@ -148,22 +152,27 @@ placed AS (
          CAST(sum(strlen(value) + 1) OVER w AS BIGINT) AS byte_end,
          sha256(value) AS sha256
   FROM lines
-  WINDOW w AS (PARTITION BY conv_id, part ORDER BY turn
+  WINDOW w AS (PARTITION BY {file} ORDER BY {order}
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ),
 ranged AS (SELECT *, byte_end - byte_length - 1 AS byte_offset FROM placed)
 """
 
 
+# Lines placed in their log file, and in their conversation as if that were the file.
+LOG_SQL = _ranged_sql("log, part", "conv_id, turn")
+CONVERSATION_SQL = _ranged_sql("conv_id", "turn")
+
+
 def write_transcripts(spark: SparkSession, sf_dir: str) -> str:
-    """The transcripts as text files, one per (conversation, part), in the shared folder."""
+    """The transcripts as text files, one per (log, part), in the shared folder."""
     path = shared_dir(spark, "transcripts")
     (
         transcript(spark, sf_dir)
-        .repartition("conv_id", "part")
-        .sortWithinPartitions("conv_id", "part", "turn")
-        .select("conv_id", "part", "value")
-        .write.partitionBy("conv_id", "part")
+        .repartition("log", "part")
+        .sortWithinPartitions("log", "part", "conv_id", "turn")
+        .select("log", "part", "value")
+        .write.partitionBy("log", "part")
         .text(path)
     )
     return path

@@ -11,7 +11,7 @@ from ..streaming import windows
 from ..streaming.forward import Forwarder, forward
 from ..streaming.liveness import liveness
 from .catalog import query
-from .inputs import EVENT_LOG_SQL, TRANSCRIPT_SQL, event_log_of, write_transcripts
+from .inputs import EVENT_LOG_SQL, LOG_SQL, event_log_of, file_key, write_transcripts
 
 EVENTS_DDL = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -79,8 +79,8 @@ def stream_moving_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_tail",
     f"""
-WITH {TRANSCRIPT_SQL}
-SELECT conv_id, part, line_number, byte_offset, byte_end, sha256,
+WITH {LOG_SQL}
+SELECT log, part, line_number, byte_offset, byte_end, sha256,
        CAST(NULL AS VARCHAR) AS payload, 'live' AS origin
 FROM ranged
 """,
@@ -98,8 +98,8 @@ def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     delivered = spark.read.parquet(forwarder.table("delivered"))
     events = delivered.select("origin", F.explode("events").alias("e")).select("origin", "e.*")
     return events.select(
-        F.regexp_extract("file_path", r"conv_id=(\d+)/", 1).cast("bigint").alias("conv_id"),
-        F.regexp_extract("file_path", r"part=(\d+)/", 1).cast("bigint").alias("part"),
+        file_key("log"),
+        file_key("part"),
         "line_number",
         "byte_offset",
         "byte_end",
