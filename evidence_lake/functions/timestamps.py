@@ -28,7 +28,9 @@ def _spark_form(text: Column) -> Column:
 def parse_ts_ns(text: Column) -> Column:
     """Nanoseconds since the epoch, exact to the microsecond; null if it is no ISO time.
 
-    A time without an offset is read as UTC, so that the answer does not depend on the machine.
+    A time without an offset is read as UTC, so that the answer does not depend on the
+    machine. Years that do not fit BIGINT nanoseconds (1677 to 2262) give null.
     """
     formed = F.when(text.rlike(_SPARK_FORM), text).otherwise(_spark_form(text))
-    return F.when(text.rlike(_ISO), F.unix_micros(F.try_to_timestamp(formed)) * 1000)
+    micros = F.unix_micros(F.try_to_timestamp(formed))
+    return F.when(text.rlike(_ISO), F.try_multiply(micros, F.lit(1000).cast("bigint")))

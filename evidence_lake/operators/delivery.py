@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ticks import floor_div
 from ..schema import (
@@ -25,7 +26,8 @@ def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
         return spark.read.schema(ddl).parquet(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], ddl)
+            columns = T.StructType.fromDDL(ddl).fields
+            return spark.range(0).select(*[F.lit(None).cast(c.dataType).alias(c.name) for c in columns])
         raise
 
 
