@@ -94,10 +94,7 @@ def events_with_outcome(events: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def not_delivered(batches: DataFrame, delivered: DataFrame, *also_on: str) -> DataFrame:
-    """Batches whose id was not delivered before.
-
-    Name the partition column in also_on so that old partitions of `delivered` are skipped.
-    """
+    """Batches whose id was not delivered before."""
     return batches.join(delivered, ["batch_id", *also_on], "left_anti")
 
 
@@ -139,6 +136,10 @@ def append_new(
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
     else:
+        if partition:
+            # An anti join prunes nothing by itself. The list holds a row per day at most.
+            touched = F.broadcast(batches.select(*partition).distinct())
+            present = present.join(touched, [*partition], "left_semi")
         batches = not_delivered(batches, present, *partition)
     if partition:
         # Few files per partition, yet a large partition is still written by many tasks.

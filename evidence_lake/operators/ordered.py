@@ -62,28 +62,43 @@ def with_prior(
     chunk: list[str],
     order: list[str],
     priors: dict[str, Prior],
+    coarse: list[str] | None = None,
 ) -> DataFrame:
-    """Add one column per prior. Rows are ordered by (chunk, order) within keys.
+    """Add one column per prior. Rows are ordered by (coarse, chunk, order) within keys.
 
-    Keys, chunk and order columns must not be null and (keys, chunk, order) must be unique.
-    The summaries come from a second scan of the few columns they need, pre-aggregated
-    before their shuffle.
+    Keys, chunk and order columns must not be null and (keys, coarse, chunk, order) must be
+    unique. The summaries come from a second scan of the few columns they need,
+    pre-aggregated before their shuffle. Where a sequence can have very many chunks, such as
+    a host with millions of small files, `coarse` groups them, and the summaries are
+    accumulated in the same two steps.
     """
+    if coarse:
+        chunk = [*coarse, *chunk]
     position = F.struct(*order)
     summaries = df.groupBy(*keys, *chunk).agg(
         *[prior.summarise(position).alias(f"_s_{name}") for name, prior in priors.items()]
     )
-    earlier_chunks = (
-        Window.partitionBy(*keys).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = summaries.select(
-        *keys,
-        *chunk,
-        *[
-            prior.over(F.col(f"_s_{name}"), earlier_chunks).alias(f"_c_{name}")
-            for name, prior in priors.items()
-        ],
-    )
+    if coarse:
+        accumulated = with_prior(
+            summaries,
+            keys,
+            chunk=coarse,
+            order=chunk[len(coarse):],
+            priors={f"_c_{n}": Prior(p.kind, F.col(f"_s_{n}")) for n, p in priors.items()},
+        )
+        carried = accumulated.select(*keys, *chunk, *[f"_c_{name}" for name in priors])
+    else:
+        earlier_chunks = (
+            Window.partitionBy(*keys).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
+        )
+        carried = summaries.select(
+            *keys,
+            *chunk,
+            *[
+                prior.over(F.col(f"_s_{name}"), earlier_chunks).alias(f"_c_{name}")
+                for name, prior in priors.items()
+            ],
+        )
     joined = df.join(carried, [*keys, *chunk])
     within = Window.partitionBy(*keys, *chunk).orderBy(*order)
     earlier_rows = within.rowsBetween(Window.unboundedPreceding, -1)

@@ -85,14 +85,13 @@ leaves AS (
   FROM sealed GROUP BY {keys}, path, chunk
 ),
 buckets AS (
-  SELECT {keys}, substr(sha256(CAST(path AS VARCHAR)), 1, 3) AS bucket,
-         sum(n) AS n, sum(size) AS size, count(DISTINCT path) AS files,
+  SELECT {keys}, substr(sha256(path || '/' || (chunk // 4096)), 1, 3) AS bucket,
+         sum(n) AS n, sum(size) AS size,
          sha256(string_agg(digest, chr(10) ORDER BY path, chunk) || chr(10)) AS digest
   FROM leaves GROUP BY {keys}, bucket
 ),
 roots AS (
   SELECT {keys}, CAST(sum(n) AS BIGINT) AS events, CAST(sum(size) AS BIGINT) AS bytes,
-         CAST(sum(files) AS BIGINT) AS files,
          sha256(string_agg(digest, chr(10) ORDER BY bucket) || chr(10)) AS seal
   FROM buckets GROUP BY {keys}
 )
@@ -106,7 +105,8 @@ WITH {EVENT_LOG_SQL},
 sealed AS (SELECT *, file_path AS path, byte_offset AS position FROM ev),
 {SEAL_SQL.format(keys="hostname, tick_index")},
 sessions AS (
-  SELECT hostname, tick_index, count(DISTINCT session_id) AS sessions FROM ev
+  SELECT hostname, tick_index, count(DISTINCT session_id) AS sessions,
+         count(DISTINCT file_path) AS files FROM ev
   GROUP BY hostname, tick_index
 )
 SELECT * FROM roots JOIN sessions USING (hostname, tick_index)

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidence_lake.operators.coverage import coverage, sticky_session
@@ -23,9 +24,11 @@ def skewed_rows(n, seed=5):
 DDL = "k STRING, pos BIGINT, size BIGINT, session STRING"
 
 
-def test_priors_equal_loop(spark):
+@pytest.mark.parametrize("coarse", [None, ["block"]])
+def test_priors_equal_loop(spark, coarse):
     rows = skewed_rows(600)
     df = spark.createDataFrame(rows, DDL).withColumn("chunk", F.expr("pos div 37"))
+    df = df.withColumn("block", F.expr("pos div 185"))
     got = with_prior(
         df,
         keys=["k"],
@@ -37,6 +40,7 @@ def test_priors_equal_loop(spark):
             "before": Prior("last", F.col("session")),
             "opened": Prior("first", F.col("session")),
         },
+        coarse=coarse,
     ).collect()
     assert len(got) == len(rows)
     state = {}
