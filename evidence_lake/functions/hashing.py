@@ -21,9 +21,9 @@ def _newline_terminated(items: Column) -> Column:
 
 def batch_digest(ids: Column) -> Column:
     """Order-independent id of a batch: SHA-256 over its sorted event ids, one per line."""
-    return _newline_terminated(F.array_sort(ids))
+    return _newline_terminated(F.sort_array(ids))
 
 
 def ordered_digest(placed: Column, field: str) -> Column:
     """SHA-256 over `field` of an array of structs, in the structs' own order."""
-    return _newline_terminated(F.transform(F.array_sort(placed), lambda item: item[field]))
+    return _newline_terminated(F.transform(F.sort_array(placed), lambda item: item[field]))

@@ -183,82 +183,76 @@ def parse_session(lines: DataFrame, capture: Capture) -> DataFrame:
     )
 
 
-def parse_rollout(lines: DataFrame, capture: Capture) -> DataFrame:
-    """Rollout files: `{"timestamp", "type", "payload"}` lines, session id in the file name.
+def is_rollout_file() -> Column:
+    name = F.element_at(F.split(normalise_path(F.col("file_path")), "/"), -1)
+    return name.rlike(ROLLOUT_FILE)
+
 
-    A session_meta line carries the tool version; other lines have none.
+def parse_rollout_or_history(
+    lines: DataFrame, capture: Capture, is_rollout: Column | None = None
+) -> DataFrame:
+    """Two formats of one tool, told apart by the file name and read in one pass.
+
+    Rollout files hold `{"timestamp", "type", "payload"}` lines and the session id in their
+    name; a session_meta line carries the tool version, other lines have none. History files
+    hold `{"session_id", "ts", "text"}` lines with ts in whole seconds; any other kind of ts
+    falls back to the capture time, and each line keeps its own session.
     """
-    doc = F.col("doc")
-    read = _parsed(lines)
+    doc, rollout = F.col("doc"), F.col("rollout")
+    chosen = is_rollout_file() if is_rollout is None else is_rollout
+    read = _parsed(lines.withColumn("rollout", chosen))
+    in_rollout = F.col("readable") & rollout
+    in_history = F.col("readable") & ~rollout
     fields = read.withColumns(
         {
-            "when": F.when(F.col("readable"), jsonl.field(doc, "$.timestamp")),
-            "kind": F.when(F.col("readable"), jsonl.as_text(jsonl.field(doc, "$.type"))),
-            "body": F.when(F.col("readable"), jsonl.field(doc, "$.payload")),
+            "when": F.when(in_rollout, jsonl.field(doc, "$.timestamp")).when(
+                in_history, jsonl.field(doc, "$.ts")
+            ),
+            "kind": F.when(in_rollout, jsonl.as_text(jsonl.field(doc, "$.type"))),
+            "body": F.when(in_rollout, jsonl.field(doc, "$.payload")),
+            "session": F.when(in_history, jsonl.field(doc, "$.session_id")),
         }
     )
     meta = F.coalesce(F.col("kind") == "session_meta", F.lit(False))
+    odd_body = F.col("body").isNotNull() & ~F.coalesce(
+        jsonl.is_object(F.col("body")), F.lit(False)
+    )
+    ok = F.col("readable") & ~(meta & odd_body)
     version = jsonl.field(F.col("body"), "$.cli_version")
-    ok = F.col("readable") & ~(
-        meta & F.col("body").isNotNull() & ~F.coalesce(jsonl.is_object(F.col("body")), F.lit(False))
+    iso = F.when(jsonl.is_text(F.col("when")), jsonl.as_text(F.col("when")))
+    seconds = F.when(
+        F.schema_of_variant("when") == "BIGINT", F.try_variant_get("when", "$", "bigint")
+    )
+    ns = F.when(rollout, parse_ts_ns(iso)).otherwise(
+        F.try_multiply(seconds, F.lit(1_000_000_000).cast("bigint"))
     )
     name = F.element_at(F.split(normalise_path(F.col("file_path")), "/"), -1)
+    session = F.when(rollout, F.nullif(F.regexp_extract(name, ROLLOUT_FILE, 1), F.lit("")))
     return to_canonical(
         fields,
         capture,
         source=ROLLOUT_SOURCE,
-        event_ns=_iso_or_capture(
-            F.when(jsonl.is_text(F.col("when")), jsonl.as_text(F.col("when"))), capture
-        ),
+        event_ns=F.coalesce(ns, F.lit(capture.captured_at_ns).cast("bigint")),
         payload=F.when(ok, F.col("value")).otherwise(jsonl.parse_error_payload(F.col("value"))),
-        subtype=F.nullif(F.col("kind"), F.lit("null")),
+        subtype=F.when(rollout, F.nullif(F.col("kind"), F.lit("null"))).when(
+            F.col("readable"), "history_entry"
+        ),
         source_version=F.when(
             meta & ok & jsonl.present(version),
             F.concat(F.lit(ROLLOUT_VERSION_PREFIX), jsonl.as_text(version)),
         ),
-        session_id=F.nullif(F.regexp_extract(name, ROLLOUT_FILE, 1), F.lit("")),
+        session_id=session.when(
+            jsonl.present(F.col("session")), jsonl.as_text(F.col("session"))
+        ),
     )
 
 
-def parse_history(lines: DataFrame, capture: Capture) -> DataFrame:
-    """History files: `{"session_id", "ts", "text"}`, ts in whole seconds.
-
-    Any other kind of ts falls back to the capture time. Each line keeps its own session.
-    """
-    doc = F.col("doc")
-    read = _parsed(lines)
-    fields = read.withColumns(
-        {
-            "when": F.when(F.col("readable"), jsonl.field(doc, "$.ts")),
-            "session": F.when(F.col("readable"), jsonl.field(doc, "$.session_id")),
-        }
-    )
-    seconds = F.when(
-        F.schema_of_variant("when") == "BIGINT", F.try_variant_get("when", "$", "bigint")
-    )
-    return to_canonical(
-        fields,
-        capture,
-        source=ROLLOUT_SOURCE,
-        event_ns=F.coalesce(
-            F.try_multiply(seconds, F.lit(1_000_000_000).cast("bigint")),
-            F.lit(capture.captured_at_ns).cast("bigint"),
-        ),
-        payload=F.when(F.col("readable"), F.col("value")).otherwise(
-            jsonl.parse_error_payload(F.col("value"))
-        ),
-        subtype=F.when(F.col("readable"), F.lit("history_entry")),
-        session_id=F.when(jsonl.present(F.col("session")), jsonl.as_text(F.col("session"))),
-    )
+def parse_rollout(lines: DataFrame, capture: Capture) -> DataFrame:
+    return parse_rollout_or_history(lines, capture, F.lit(True))
 
 
-def parse_rollout_or_history(lines: DataFrame, capture: Capture) -> DataFrame:
-    """One tool writes both formats; the file name tells which applies."""
-    name = F.element_at(F.split(normalise_path(F.col("file_path")), "/"), -1)
-    is_rollout = name.rlike(ROLLOUT_FILE)
-    return parse_rollout(lines.where(is_rollout), capture).unionByName(
-        parse_history(lines.where(~is_rollout), capture)
-    )
+def parse_history(lines: DataFrame, capture: Capture) -> DataFrame:
+    return parse_rollout_or_history(lines, capture, F.lit(False))
 
 
 Adapter = Callable[[DataFrame, Capture], DataFrame]
