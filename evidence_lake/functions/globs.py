@@ -35,7 +35,7 @@ def glob_regex(glob: str) -> str:
 
 
 def normalise_path(path: Column) -> Column:
-    return F.translate(path, "\\", "/")
+    return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
 def matches_any(path: Column, globs: tuple[str, ...]) -> Column:

@@ -1,41 +1,60 @@
-"""Reading fields out of a JSON line the way a lenient log reader does."""
+"""Reading fields out of a JSON line the way a lenient log reader does.
+
+Values are taken as text straight from the parsed line. Their type is looked up only where
+the text leaves it open, because that is the dearer step.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# JSON forms of values that count as absent (fixed values).
-EMPTY_JSON = ("null", "false", "0", "0.0", "-0", "-0.0", '""', "[]", "{}")
+# Texts of values that count as absent, unless they are strings (fixed values).
+EMPTY_VALUES = ("", "false", "0", "0.0", "-0", "-0.0", "[]", "{}")
 
 
 def is_json_object(line: Column, parsed: Column) -> Column:
     """True where `line` is valid UTF-8 and one JSON object (`parsed` is its VARIANT)."""
-    return F.is_valid_utf8(line) & parsed.isNotNull() & line.rlike(r"^[ \t\r\n]*\{")
+    opens = line.startswith("{") | F.ltrim(line, F.lit(" \t\r\n")).startswith("{")
+    return parsed.isNotNull() & opens & F.is_valid_utf8(line)
 
 
-def field(parsed: Column, path: str) -> Column:
+def value_at(parsed: Column, path: str) -> Column:
     return F.try_variant_get(parsed, path, "variant")
 
 
-def present(value: Column) -> Column:
-    """True where a VARIANT value is there and not empty, zero, false or null."""
-    return F.coalesce(~F.to_json(value).isin(*EMPTY_JSON), F.lit(False))
+def text_at(parsed: Column, path: str) -> Column:
+    """Strings as they are, other values as JSON text, null for null and absent ones."""
+    return F.try_variant_get(parsed, path, "string")
+
+
+def is_string_at(parsed: Column, path: str) -> Column:
+    return F.schema_of_variant(value_at(parsed, path)) == "STRING"
 
 
-def is_text(value: Column) -> Column:
-    return F.schema_of_variant(value) == "STRING"
+def is_integer_at(parsed: Column, path: str) -> Column:
+    return F.schema_of_variant(value_at(parsed, path)) == "BIGINT"
 
 
-def as_text(value: Column) -> Column:
-    """Strings as they are, everything else as its JSON text."""
-    return F.when(is_text(value), F.try_variant_get(value, "$", "string")).otherwise(
-        F.to_json(value)
+def present_text(parsed: Column, path: str) -> Column:
+    """The text of a value that is not empty, zero, false or null."""
+    text = text_at(parsed, path)
+    return F.when(~text.isin(*EMPTY_VALUES), text).when(
+        (text != "") & is_string_at(parsed, path), text
     )
 
 
-def is_object(value: Column) -> Column:
-    return F.to_json(value).startswith("{")
+def time_text(parsed: Column, path: str) -> Column:
+    """As present_text, but a number that reads like a date is marked as no time."""
+    text = present_text(parsed, path)
+    number = text.rlike(r"^\d{8}$") & ~is_string_at(parsed, path)
+    return F.when(number, "number").otherwise(text)
+
+
+def odd_container(parsed: Column, path: str) -> Column:
+    """True where a value is there but is no object, so nothing can be read from it."""
+    value = value_at(parsed, path)
+    return value.isNotNull() & ~F.schema_of_variant(value).startswith("OBJECT")
 
 
 def parse_error_payload(line: Column) -> Column:

@@ -121,12 +121,8 @@ def _parsed(lines: DataFrame) -> DataFrame:
     return parsed.withColumn("readable", jsonl.is_json_object(F.col("value"), F.col("doc")))
 
 
-def _iso_or_capture(text: Column, capture: Capture) -> Column:
-    return F.coalesce(parse_ts_ns(text), F.lit(capture.captured_at_ns).cast("bigint"))
-
-
-def _first_present(*values: Column) -> Column:
-    return F.coalesce(*[F.when(jsonl.present(value), value) for value in values])
+def _file_name() -> Column:
+    return F.substring_index(normalise_path(F.col("file_path")), "/", -1)
 
 
 def parse_session(lines: DataFrame, capture: Capture) -> DataFrame:
@@ -136,58 +132,48 @@ def parse_session(lines: DataFrame, capture: Capture) -> DataFrame:
     type or message.role. A line whose message is no object counts as unreadable, but keeps
     the time already found.
     """
-    doc = F.col("doc")
+    doc, readable = F.col("doc"), F.col("readable")
     read = _parsed(lines)
     fields = read.withColumns(
         {
             "when": F.when(
-                F.col("readable"),
-                _first_present(
-                    jsonl.field(doc, "$.timestamp"),
-                    jsonl.field(doc, "$.ts"),
-                    jsonl.field(doc, "$.created_at"),
+                readable,
+                F.coalesce(
+                    jsonl.time_text(doc, "$.timestamp"),
+                    jsonl.time_text(doc, "$.ts"),
+                    jsonl.time_text(doc, "$.created_at"),
                 ),
             ),
             "role": F.when(
-                F.col("readable"),
-                _first_present(jsonl.field(doc, "$.role"), jsonl.field(doc, "$.type")),
+                readable,
+                F.coalesce(jsonl.present_text(doc, "$.role"), jsonl.present_text(doc, "$.type")),
             ),
-            "message": F.when(F.col("readable"), jsonl.field(doc, "$.message")),
         }
     )
-    needs_message = F.col("role").isNull() & F.col("message").isNotNull()
-    fields = fields.withColumn(
-        "ok",
-        F.col("readable")
-        & F.coalesce(~(needs_message & ~jsonl.is_object(F.col("message"))), F.lit(True)),
-    )
-    role = F.coalesce(
-        "role", _first_present(F.when(needs_message, jsonl.field(F.col("message"), "$.role")))
-    )
+    # Only a line without a role of its own is asked for its message.
+    odd = F.col("role").isNull() & jsonl.odd_container(doc, "$.message")
+    fields = fields.withColumn("ok", readable & ~odd)
+    role = F.coalesce("role", jsonl.present_text(doc, "$.message.role"))
     path = normalise_path(F.col("file_path"))
-    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    stem = F.regexp_replace(_file_name(), r"(?<=.)\.[^.]*$", "")
     uuid = F.regexp_extract(stem, f"(?i)({UUID})", 1)
     return to_canonical(
         fields,
         capture,
         source=SESSION_SOURCE,
-        event_ns=_iso_or_capture(
-            F.when(jsonl.is_text(F.col("when")), jsonl.as_text(F.col("when"))), capture
+        event_ns=F.coalesce(
+            parse_ts_ns(F.col("when")), F.lit(capture.captured_at_ns).cast("bigint")
         ),
         payload=F.when(F.col("ok"), F.col("value")).otherwise(
             jsonl.parse_error_payload(F.col("value"))
         ),
-        subtype=F.when(F.col("ok"), F.concat(F.lit("role:"), jsonl.as_text(role))),
+        subtype=F.when(F.col("ok"), F.concat(F.lit("role:"), role)),
         session_id=F.nullif(uuid, F.lit("")),
-        project_slug=F.try_element_at(F.split(path, "/"), F.lit(-2)),
+        project_slug=F.when(path.contains("/"), folder).otherwise(""),
     )
 
 
-def is_rollout_file() -> Column:
-    name = F.element_at(F.split(normalise_path(F.col("file_path")), "/"), -1)
-    return name.rlike(ROLLOUT_FILE)
-
-
 def parse_rollout_or_history(
     lines: DataFrame, capture: Capture, is_rollout: Column | None = None
 ) -> DataFrame:
@@ -199,50 +185,40 @@ def parse_rollout_or_history(
     falls back to the capture time, and each line keeps its own session.
     """
     doc, rollout = F.col("doc"), F.col("rollout")
-    chosen = is_rollout_file() if is_rollout is None else is_rollout
-    read = _parsed(lines.withColumn("rollout", chosen))
+    named = lines.withColumn("named", F.regexp_extract(_file_name(), ROLLOUT_FILE, 1))
+    chosen = F.col("named") != "" if is_rollout is None else is_rollout
+    read = _parsed(named.withColumn("rollout", chosen))
     in_rollout = F.col("readable") & rollout
     in_history = F.col("readable") & ~rollout
     fields = read.withColumns(
         {
-            "when": F.when(in_rollout, jsonl.field(doc, "$.timestamp")).when(
-                in_history, jsonl.field(doc, "$.ts")
+            "when": F.when(in_rollout, jsonl.time_text(doc, "$.timestamp")),
+            "kind": F.when(in_rollout, jsonl.text_at(doc, "$.type")),
+            "seconds": F.when(
+                in_history & jsonl.is_integer_at(doc, "$.ts"),
+                F.try_variant_get(doc, "$.ts", "bigint"),
             ),
-            "kind": F.when(in_rollout, jsonl.as_text(jsonl.field(doc, "$.type"))),
-            "body": F.when(in_rollout, jsonl.field(doc, "$.payload")),
-            "session": F.when(in_history, jsonl.field(doc, "$.session_id")),
         }
     )
     meta = F.coalesce(F.col("kind") == "session_meta", F.lit(False))
-    odd_body = F.col("body").isNotNull() & ~F.coalesce(
-        jsonl.is_object(F.col("body")), F.lit(False)
+    ok = F.col("readable") & ~(meta & jsonl.odd_container(doc, "$.payload"))
+    fields = fields.withColumn("ok", ok)
+    version = F.when(meta & F.col("ok"), jsonl.present_text(doc, "$.payload.cli_version"))
+    ns = F.when(rollout, parse_ts_ns(F.col("when"))).otherwise(
+        F.try_multiply(F.col("seconds"), F.lit(1_000_000_000).cast("bigint"))
     )
-    ok = F.col("readable") & ~(meta & odd_body)
-    version = jsonl.field(F.col("body"), "$.cli_version")
-    iso = F.when(jsonl.is_text(F.col("when")), jsonl.as_text(F.col("when")))
-    seconds = F.when(
-        F.schema_of_variant("when") == "BIGINT", F.try_variant_get("when", "$", "bigint")
-    )
-    ns = F.when(rollout, parse_ts_ns(iso)).otherwise(
-        F.try_multiply(seconds, F.lit(1_000_000_000).cast("bigint"))
-    )
-    name = F.element_at(F.split(normalise_path(F.col("file_path")), "/"), -1)
-    session = F.when(rollout, F.nullif(F.regexp_extract(name, ROLLOUT_FILE, 1), F.lit("")))
     return to_canonical(
         fields,
         capture,
         source=ROLLOUT_SOURCE,
         event_ns=F.coalesce(ns, F.lit(capture.captured_at_ns).cast("bigint")),
-        payload=F.when(ok, F.col("value")).otherwise(jsonl.parse_error_payload(F.col("value"))),
-        subtype=F.when(rollout, F.nullif(F.col("kind"), F.lit("null"))).when(
-            F.col("readable"), "history_entry"
-        ),
-        source_version=F.when(
-            meta & ok & jsonl.present(version),
-            F.concat(F.lit(ROLLOUT_VERSION_PREFIX), jsonl.as_text(version)),
+        payload=F.when(F.col("ok"), F.col("value")).otherwise(
+            jsonl.parse_error_payload(F.col("value"))
         ),
-        session_id=session.when(
-            jsonl.present(F.col("session")), jsonl.as_text(F.col("session"))
+        subtype=F.when(rollout, F.col("kind")).when(F.col("readable"), "history_entry"),
+        source_version=F.concat(F.lit(ROLLOUT_VERSION_PREFIX), version),
+        session_id=F.when(rollout, F.nullif(F.col("named"), F.lit(""))).when(
+            F.col("readable"), jsonl.present_text(doc, "$.session_id")
         ),
     )
 
