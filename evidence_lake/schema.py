@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 # Fixed values of the event contract.
 EVENT_SCHEMA_VERSION = "1.0"
 HASH_ALGORITHM = "sha256"
@@ -54,12 +53,6 @@ DEAD_LETTER_DDL = "parked_ns BIGINT, batch_id STRING, reason STRING, body STRING
 
 DEAD_LETTER_STATUS_DDL = "batch_id STRING, status STRING, at_ns BIGINT"
 
-ENVELOPE_EVENT_DDL = """
-STRUCT<event_id: STRING, event_type: STRING, file_path: STRING, line_number: BIGINT,
-byte_offset: BIGINT, byte_end: BIGINT, byte_length: BIGINT, sha256: STRING, ts_ns: BIGINT,
-payload: STRING>
-"""
-
 AUDIT_DDL = "log_id STRING, pos BIGINT, line STRING"
 
 # Audit record kinds (fixed values).

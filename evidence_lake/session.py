@@ -55,5 +55,4 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="evidence_lake_")
-        spark.conf.set("spark.evidence_lake.scratch", root)
     return f"{root.rstrip('/')}/evidence_lake/{purpose}-{uuid.uuid4().hex}"
