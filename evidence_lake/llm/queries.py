@@ -6,16 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, labels
 from .exact_dedup import exact_dedup
 from .line_dedup import apply_bitmaps, keep_bitmaps
+from .quality import score_quality, train_quality
 from .token_counts import token_counts
 from .token_files import read_ids, scratch_path, write_ids
+from .toxicity import score_toxicity, train_toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score_toxicity(docs, train_toxicity(docs, labels(spark, sf_dir)))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -63,6 +70,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path, with_ids=False).drop("ids")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score_quality(docs, train_quality(docs, labels(spark, sf_dir)))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
@@ -70,9 +82,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_toxicity,
         op3_exact_dedup,
         op4_line_dedup,
         op5_token_files,
+        op7_quality,
         op10_token_counts,
     )
 }
