@@ -10,6 +10,7 @@ from .common import documents, labels
 from .exact_dedup import exact_dedup
 from .line_dedup import apply_bitmaps, keep_bitmaps
 from .quality import score_quality, train_quality
+from .secrets import secret_scan
 from .token_counts import token_counts
 from .token_files import read_ids, scratch_path, write_ids
 from .toxicity import score_toxicity, train_toxicity
@@ -75,6 +76,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, labels(spark, sf_dir)))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
@@ -87,6 +92,7 @@ QUERIES = {
         op4_line_dedup,
         op5_token_files,
         op7_quality,
+        op9_secrets,
         op10_token_counts,
     )
 }

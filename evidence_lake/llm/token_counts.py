@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -102,6 +102,13 @@ class MergeVocabulary:
         return merge(symbols, lengths, self.table)[1]
 
 
+def vocabulary_pattern(path: str) -> Callable[[str], list[str]]:
+    """Splits composed, lower-cased text into pre-tokens."""
+    with open(path, encoding="utf-8") as file:
+        split = json.load(file)["pre_tokenizer"]["pretokenizers"][0]
+    return regex.compile(split["pattern"]["Regex"]).findall
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> MergeVocabulary:
     """Once in a Python worker."""

@@ -16,6 +16,7 @@ file set.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,7 @@ from pyspark.sql.window import Window
 from evidence_lake.session import shared_dir
 
 from .common import column_texts, partitions, small_batches
-from .token_counts import MEMORY_WORDS, words_of
+from .token_counts import MEMORY_WORDS, vocabulary_pattern, words_of
 
 BLOCK_IDS = 1 << 14
 CHUNK_IDS = 1 << 18
@@ -44,7 +45,12 @@ DOC_SCHEMA = "shard INT, in_shard BIGINT, doc_id BIGINT, n_tokens BIGINT, ids_cr
 
 
 class WordIds(dict):
-    """Little-endian ids of words, made by the tokenizers library; forgotten once too many."""
+    """Little-endian ids of words, made by the tokenizers library; forgotten once too many.
+
+    The library gets many different pre-tokens in one text, as a call costs more than a word does.
+    Its ids are told apart by the tokens that end a pre-token. Words whose pre-tokens are not
+    plain (special strings, text that is not composed) go to the library one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,15 +58,52 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces: dict[str, bytes] = {}
+        self.split = vocabulary_pattern(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain(self, word: str) -> str | None:
+        if word.isascii():
+            return None if "<|" in word else word.lower()
+        if "<|" in word or "\u0130" in word or not unicodedata.is_normalized("NFC", word):
+            return None
+        return "".join(map(str.lower, word))
+
+    def _learn_pieces(self, pieces: list[str], together: int = 500) -> None:
+        groups = [pieces[i : i + together] for i in range(0, len(pieces), together)]
+        for group, code in zip(
+            groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        ):
+            ids = np.array(code.ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(group) or (len(ids) and stops[-1] != 4 * len(ids)):
+                self.pieces.update((p, self._alone(p)) for p in group)
+                continue
+            raw, start = ids.tobytes(), 0
+            for piece, stop in zip(group, stops.tolist()):
+                self.pieces[piece] = raw[start:stop]
+                start = stop
 
     def learn(self, words: set[str]) -> None:
-        if len(self) > MEMORY_WORDS:
+        if len(self) > MEMORY_WORDS or len(self.pieces) > MEMORY_WORDS:
             self.clear()
-        new = [w for w in words if w not in self]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[word] = np.array(code.ids, "<u4").tobytes()
+            self.pieces.clear()
+        parts: dict[str, list[str]] = {}
+        for word in words:
+            if word not in self:
+                plain = self._plain(word)
+                if plain is None:
+                    self[word] = self._alone(word)
+                else:
+                    parts[word] = self.split(plain)
+        known = self.pieces
+        self._learn_pieces(list({p for pieces in parts.values() for p in pieces if p not in known}))
+        for word, pieces in parts.items():
+            self[word] = b"".join([known[p] for p in pieces])
 
     def encode(self, words: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, words))
