@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .common import documents, labels
 from .exact_dedup import exact_dedup
 from .line_dedup import apply_bitmaps, keep_bitmaps
+from .near_dedup import near_duplicates
 from .quality import score_quality, train_quality
 from .secrets import secret_scan
 from .token_counts import token_counts
@@ -76,6 +77,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, labels(spark, sf_dir)))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=2)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir))
 
@@ -92,6 +97,7 @@ QUERIES = {
         op4_line_dedup,
         op5_token_files,
         op7_quality,
+        op8_near_dedup,
         op9_secrets,
         op10_token_counts,
     )
