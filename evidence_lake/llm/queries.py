@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, labels
+from .common import benchmark, documents, labels
+from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .line_dedup import apply_bitmaps, keep_bitmaps
 from .near_dedup import near_duplicates
+from .piece_dropout import decode, encode
 from .quality import score_quality, train_quality
 from .secrets import secret_scan
 from .token_counts import token_counts
@@ -18,6 +20,13 @@ from .toxicity import score_toxicity, train_toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
+PIECES = "piece_bpe_32k.model"
+DROPOUT_SEED = 17
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text and the test items it holds; texts that hold none are not listed."""
+    return contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir)).drop("text_key")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +81,19 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path, with_ids=False).drop("ids")
 
 
+def op6_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Varied segmentations of every text, and the digest of what they decode to."""
+    model = public_tokenizers.path(PIECES)
+    coded = encode(documents(spark, sf_dir).select("doc_id", "text"), model, seed=DROPOUT_SEED)
+    summed = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, b: a + b)
+    return decode(coded, model).select(
+        "doc_id",
+        F.size("pieces").cast("long").alias("n_pieces"),
+        summed.alias("pieces_sum"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score_quality(docs, train_quality(docs, labels(spark, sf_dir)))
@@ -92,10 +114,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_decontamination,
         op2_toxicity,
         op3_exact_dedup,
         op4_line_dedup,
         op5_token_files,
+        op6_piece_dropout,
         op7_quality,
         op8_near_dedup,
         op9_secrets,
