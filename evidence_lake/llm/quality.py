@@ -9,12 +9,13 @@ the smallest hash of their id. Everything else covers all rows.
 
 Defined cases: a null or empty text has statistics of 0 and gets a score like any other; a null id
 is held out (nothing is learnt from it) and keeps its row; repeated rows score alike; other columns
-are not read. Without labels of both kinds every score is the share of good labels, or 1 if there
+are not read, and pass through on demand; names that start with `_q` are reserved. Without labels of both kinds every score is the share of good labels, or 1 if there
 are none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,7 +65,7 @@ RATIOS = {
 }
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def with_statistics(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """The columns `keep` and one column for each statistic, `_q_` and its name."""
     named = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_q_text"))
     counts = named.select(
@@ -212,10 +213,9 @@ def train_quality(docs: DataFrame, labels: DataFrame) -> RuleModel:
     return fit_rules(rows[list(FEATURES)].to_numpy(float), rows["label"].to_numpy(float))
 
 
-def score_quality(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of docs."""
-    return with_statistics(docs, keep=("doc_id",)).select(
-        "doc_id",
-        F.coalesce(~learnable(F.col("doc_id")), F.lit(True)).alias("held_out"),
-        model.column().alias("score"),
-    ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def score_quality(
+    docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD, keep: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """The columns `keep` of every row of docs, with _q_score and _q_predicted; no shuffle."""
+    scored = with_statistics(docs, keep=keep).select(*keep, model.column().alias("_q_score"))
+    return scored.withColumn("_q_predicted", (F.col("_q_score") >= threshold).cast("int"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import benchmark, documents, labels
+from .common import benchmark, documents, labels, learnable
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .line_dedup import apply_bitmaps, keep_bitmaps
@@ -96,7 +96,12 @@ def op6_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return score_quality(docs, train_quality(docs, labels(spark, sf_dir)))
+    return score_quality(docs, train_quality(docs, labels(spark, sf_dir))).select(
+        "doc_id",
+        F.coalesce(~learnable(F.col("doc_id")), F.lit(True)).alias("held_out"),
+        F.col("_q_score").alias("score"),
+        F.col("_q_predicted").alias("predicted"),
+    )
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
