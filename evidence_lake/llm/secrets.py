@@ -213,11 +213,11 @@ class PrefixTree:
         return [{c: number[s] for c, s in self.next[r].items()} for r in red]
 
 
-def infer(values: list[str], open_ended: bool = False) -> Automaton:
+def infer(values: list[str]) -> Automaton:
     """The merged states, with frequencies counted by running every value from the start.
 
-    open_ended mixes in how often a character stands anywhere, for a sample that shows only a part
-    of what there is.
+    How often a character stands anywhere is mixed in, as a sample shows only a part of what
+    there is.
     """
     states = PrefixTree(values).merged()
     flows, stops = [Counter() for _ in states], [0] * len(states)
@@ -229,15 +229,14 @@ def infer(values: list[str], open_ended: bool = False) -> Automaton:
         stops[state] += 1
     every = sum(flows, Counter())
     size = sum(every.values()) + 1
-    share = {c: n / size for c, n in every.items()} if open_ended else {}
-    mixed = MIXED if open_ended else 0.0
+    share = {c: n / size for c, n in every.items()}
     moves, ends = [], []
     for flow, stop, to in zip(flows, stops, states):
         total = flow.total() + stop + 1
-        cost = {c: -log2(max(UNSEEN, (1 - mixed) * flow[c] / total + mixed * share.get(c, 0))) for c in to}
+        cost = {c: -log2(max(UNSEEN, (1 - MIXED) * flow[c] / total + MIXED * share[c])) for c in to}
         moves.append({c: (state, cost[c]) for c, state in to.items()})
         ends.append(-log2(max(UNSEEN, stop / total)))
-    anywhere = {c: -log2(max(UNSEEN, mixed * p)) for c, p in share.items()}
+    anywhere = {c: -log2(max(UNSEEN, MIXED * p)) for c, p in share.items()}
     return Automaton(tuple(moves), tuple(ends), anywhere)
 
 
@@ -271,7 +270,7 @@ def train_formats(found: DataFrame) -> FormatModel:
     examples = [values("base", kind, SAMPLE) for kind in range(3)]
     # Numbers and addresses are rare among words, but nearest to credentials.
     ordinary = sorted({*values("others", 3, BACKGROUND), *values("others", 3, BACKGROUND, "[0-9]")})
-    return FormatModel(tuple(infer(v) for v in examples if v), infer(ordinary, open_ended=True))
+    return FormatModel(tuple(infer(v) for v in examples if v), infer(ordinary))
 
 
 def score_spans(found: DataFrame, model: FormatModel) -> DataFrame:

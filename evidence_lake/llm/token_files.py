@@ -89,21 +89,23 @@ class WordIds(dict):
                 start = stop
 
     def learn(self, words: set[str]) -> None:
-        if len(self) > MEMORY_WORDS or len(self.pieces) > MEMORY_WORDS:
+        if len(self) > MEMORY_WORDS:
             self.clear()
+        # Pre-tokens are fewer than words and dearer to make: they stay for longer.
+        if len(self.pieces) > 2 * MEMORY_WORDS:
             self.pieces.clear()
         parts: dict[str, list[str]] = {}
-        for word in words:
-            if word not in self:
-                plain = self._plain(word)
-                if plain is None:
-                    self[word] = self._alone(word)
-                else:
-                    parts[word] = self.split(plain)
+        for word in words - self.keys():
+            plain = self._plain(word)
+            if plain is None:
+                self[word] = self._alone(word)
+            else:
+                # Letters alone are one pre-token.
+                parts[word] = [plain] if plain.isalpha() else self.split(plain)
         known = self.pieces
-        self._learn_pieces(list({p for pieces in parts.values() for p in pieces if p not in known}))
+        self._learn_pieces(list(set().union(*parts.values()) - known.keys()))
         for word, pieces in parts.items():
-            self[word] = b"".join([known[p] for p in pieces])
+            self[word] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
 
     def encode(self, words: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, words))
