@@ -34,6 +34,32 @@ def glob_regex(glob: str) -> str:
     return rf"(?s)\A{collapsed}\z"
 
 
+def path_glob_regex(glob: str) -> str:
+    """Glob over files to a whole-path regex: `*` and `?` stop at `/`, a `**` part crosses any
+    number of folders, and a name that starts with a dot needs a dot in the glob."""
+    parts = []
+    names = glob.replace("\\", "/").split("/")
+    for i, name in enumerate(names):
+        last = i == len(names) - 1
+        if name == "**":
+            parts.append("(?:(?!\\.)[^/]+/)*" + ("(?!\\.)[^/]+" if last else ""))
+            continue
+        inner = glob_regex(name)[len(r"(?s)\A") : -len(r"\z")]
+        # Outside a class, what crosses `/` for an exclusion does not here.
+        inner = re.sub(r"(\\.)|(\[(?:\\.|[^\]])*\])|\.", lambda m: m[0] if m[1] or m[2] else "[^/]", inner)
+        hidden = "" if not name or name.startswith(".") else "(?!\\.)"
+        parts.append(hidden + inner + ("" if last else "/"))
+    return rf"(?s)\A{''.join(parts)}\z"
+
+
+def matches_path(path: Column, globs: tuple[str, ...]) -> Column:
+    """True where the normalised path is one that at least one file glob names."""
+    path, hit = normalise_path(path), F.lit(False)
+    for glob in globs:
+        hit = hit | path.rlike(path_glob_regex(glob))
+    return hit
+
+
 def normalise_path(path: Column) -> Column:
     return F.replace(path, F.lit("\\"), F.lit("/"))
 

@@ -21,8 +21,8 @@ def _spark_form(text: Column) -> Column:
     text = F.regexp_replace(text, r"([T ]\d{2}):?(\d{2}):?(\d{2})", "$1:$2:$3")
     text = F.regexp_replace(text, r"([T ]\d{2}):?(\d{2})(?=$|Z|[+-])", "$1:$2:00")
     text = F.regexp_replace(text, r"([T ]\d{2})(?=$|Z|[+-])", "$1:00:00")
-    text = F.regexp_replace(text, r"(?<=:\d{2}|\.\d{1,30})([+-]\d{2}):?(\d{2})$", "$1:$2")
-    return F.regexp_replace(text, r"(?<=:\d{2}|\.\d{1,30})([+-]\d{2})$", "$1:00")
+    text = F.regexp_replace(text, r"(:\d{2}|\.\d+)([+-]\d{2}):?(\d{2})$", "$1$2:$3")
+    return F.regexp_replace(text, r"(:\d{2}|\.\d+)([+-]\d{2})$", "$1$2:00")
 
 
 def parse_ts_ns(text: Column) -> Column:

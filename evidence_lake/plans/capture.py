@@ -398,7 +398,7 @@ def parse_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     props = F.col("props")
     value = (
         F.when(slot == 0, props)
-        .when(slot == 1, F.substring(props, 2, 1_000_000))
+        .when(slot == 1, F.expr("substring(props, 2)"))
         .when(slot == 2, F.concat(F.lit("["), props, F.lit("]")))
         .when(slot == 3, F.replace(props, F.lit("}"), F.lit(',"note":"a\\"b"}')))
         .otherwise(F.col("event_id").cast("string"))

@@ -92,7 +92,8 @@ def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     forwarder = Forwarder(
         root=shared_dir(spark, "forward"),
         adapter="claude_code",
-        capture=Capture(hostname="fleet", captured_at_ns=1_706_745_600_000_000_000),
+        capture=Capture(hostname="fleet"),
+        clock=lambda: 1_706_745_600_000_000_000,
     )
     forward(spark, source, forwarder, glob="*.txt").awaitTermination()
     delivered = spark.read.parquet(forwarder.table("delivered"))

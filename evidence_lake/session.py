@@ -50,9 +50,13 @@ def local_session(cores: int | str = "*", app: str = "evidence_lake") -> SparkSe
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """New folder under the cluster's shared checkpoint folder.
 
-    Only where the session names none (tests, a single machine) is a temporary folder made.
+    Only where the session names none and runs in one process (tests, a single machine) is a
+    temporary folder made; executors of a cluster would not see each other's files in it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="evidence_lake_")
     return f"{root.rstrip('/')}/evidence_lake/{purpose}-{uuid.uuid4().hex}"
