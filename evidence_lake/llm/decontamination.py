@@ -18,12 +18,12 @@ Other columns are not read, and pass through `drop_contaminated`.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,21 +34,42 @@ MIN_TILE = 5
 MIN_COVERAGE = 0.5
 MAX_SEEDS = 2_000_000
 MEMORY_WORDS = 400_000
-WORDS = re.compile(r"[^\W_]+").findall
+# In UTF-8, ASCII that is no letter or digit becomes a space, and A-Z small.
+PLAIN = bytes(i if i > 127 else ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(256))
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def spaced(text: str) -> bytes:
+    """The words of a text, lower-cased, with spaces between."""
+    if not text.isascii():
+        text = text.lower()
+        for character in set(text):
+            if character > "\x7f" and not character.isalnum():
+                text = text.replace(character, " ")
+    return text.encode().translate(PLAIN).strip()
+
+
 class WordHasher(dict):
     """64-bit hashes of words; forgotten as a whole once there are too many."""
 
-    def hashes(self, text: str) -> np.ndarray:
-        words = WORDS(text.lower())
+    def __missing__(self, word: str) -> int:
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+    def hashes(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Word hashes of each text. Arrow splits the texts and numbers the distinct words."""
         if len(self) > MEMORY_WORDS:
             self.clear()
-        for word in words:
-            if word not in self:
-                self[word] = xxhash.xxh64_intdigest(word)
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        words = pc.ascii_split_whitespace(pa.array([spaced(t) for t in texts], pa.large_string()))
+        coded = words.values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = np.fromiter(map(self.__getitem__, distinct), np.uint64, len(distinct))
+        hashes = known[coded.indices.to_numpy()]
+        ends = words.offsets.to_numpy()
+        for text, start, end in zip(texts, ends[:-1], ends[1:]):
+            own = hashes[start:end]
+            # A text without words is split into one empty word.
+            yield own if len(own) != 1 or spaced(text) else own[:0]
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -121,7 +142,7 @@ def item_words(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            hashes = [hasher.hashes(t) for t in column_texts(batch.column(1))]
+            hashes = list(hasher.hashes(column_texts(batch.column(1))))
             seeds = [np.unique(windows(h, MIN_TILE)).view(np.int64).tolist() for h in hashes]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([h.tobytes() for h in hashes], pa.binary()), pa.array(seeds, pa.list_(pa.int64()))],
@@ -161,8 +182,8 @@ def contaminated(
             maybe[(known & mask).astype(np.int64)] = True
         for batch in batches:
             hits = []
-            for text in column_texts(batch.column(2)):
-                own = windows(hasher.hashes(text), MIN_TILE)
+            for hashes in hasher.hashes(column_texts(batch.column(2))):
+                own = windows(hashes, MIN_TILE)
                 if known is not None:
                     own = own[maybe[(own & mask).astype(np.int64)]]
                     own = own[np.isin(own, known)]
@@ -205,9 +226,10 @@ def contaminated(
         hasher = WordHasher()
         for batch in batches:
             rows = []
-            for text, words in zip(column_texts(batch.column(3)), batch.column(4).to_pylist()):
+            texts = hasher.hashes(column_texts(batch.column(3)))
+            for text, words in zip(texts, batch.column(4).to_pylist()):
                 item = np.frombuffer(words, np.uint64)
-                tiles = tile(item, hasher.hashes(text))
+                tiles = tile(item, text)
                 covered = sum(n for _, _, n in tiles)
                 rows.append((len(item), covered, covered / len(item), len(tiles), max((n for _, _, n in tiles), default=0)))
             columns = list(zip(*rows)) if rows else [[]] * 5

@@ -23,6 +23,7 @@ from evidence_lake.llm.token_files import from_planes, pack_chunk, to_planes, un
 SF = "/root/testdata/sf0.001"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = re.compile(r"[^\W_]+").findall
 LETTERS = "aaabcde'sdtre mlvİſKßΣσéé́Å  \x1c\x85\xa0 漢字🙂123!?<|endoftext|>\n\t"
 
 
@@ -154,10 +155,10 @@ def test_tiles_equal_naive_tiling():
 
 
 def test_decontamination_equals_brute_force(spark):
-    bench = {r.item_id: decontamination.WORDS((r.text or "").lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    bench = {r.item_id: WORDS((r.text or "").lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     want = set()
     for d, t in texts(spark).items():
-        words = decontamination.WORDS(t.lower())
+        words = WORDS(t.lower())
         grams = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
         for i, item in bench.items():
             if any(tuple(item[k : k + 5]) in grams for k in range(len(item) - 4)):
