@@ -12,7 +12,10 @@ Copies first become classes of equal sets, with one representative. No band list
 2. Bands whose members are still in different components are looked at again: only members outside
    the component of the band's smallest id, its strays, are compared with members of other
    components. A link within a component adds nothing, and any other link has a stray on one side,
-   so together the steps find all components that comparing all pairs would.
+   so together the steps find all components that comparing all pairs would. Strays meet the others
+   in blocks of at most about BLOCK_SHINGLES a side, by sketch and then by full set, and only in the
+   first band they share; a stray keeps one link to each component. So what is written grows with
+   the members of bands, not with their pairs.
 
 With five values a band and forty bands, two sets at the limit of 0.8 meet in no band once in eight
 million times. Sketches leave out pairs that differ in MAX_ODD bits or more, five deviations beyond
@@ -42,6 +45,7 @@ SKETCH_BITS = 256
 MAX_ODD = 104
 LIMIT_PERCENT = 80
 MEMORY_WORDS = 400_000
+BLOCK_SHINGLES = 2_000_000
 SCHEMA = (
     "doc_id BIGINT, n BIGINT, d1 BIGINT, d2 BIGINT, bands ARRAY<BIGINT>, "
     "s0 BIGINT, s1 BIGINT, s2 BIGINT, s3 BIGINT"
@@ -158,10 +162,8 @@ def _promising(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.where((odd < MAX_ODD) & sizes).select("x", "y").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs whose full sets reach the limit. Only the texts that stand in a pair are read again."""
-    pairs = stored(pairs, "near-pairs")
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+def _sets(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Full sets of the texts whose `id` is among ids. Only these texts are read again."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(words)
@@ -170,7 +172,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, id_col: str, text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "members"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = stored(texts.join(ids, "id", "left_semi").mapInArrow(build, "id BIGINT, members BINARY"), "near-sets")
+    return stored(texts.join(ids, "id", "left_semi").mapInArrow(build, "id BIGINT, members BINARY"), "near-sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs whose full sets reach the limit."""
+    pairs = stored(pairs, "near-pairs")
+    sets = _sets(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), docs, words, id_col, text_col)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,6 +197,75 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, id_col: str, text_c
     return stored(both.mapInArrow(confirm, "x BIGINT, y BIGINT"), "near-links")
 
 
+def _block_links(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Links between the strays of a block and its members of other components."""
+    block = pa.Table.from_batches(pieces)
+    band = block["band"][0].as_py()
+    rep, component, n = (block[c].to_numpy() for c in ("rep", "component", "n"))
+    sketch = np.stack([block[c].to_numpy() for c in SKETCH], axis=1).view(np.uint64)
+    bands = np.concatenate([c.flatten().to_numpy() for c in block["bands"].chunks]).reshape(-1, BANDS)
+    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in block["members"]]
+    stray = block["stray"].to_numpy()
+    members, links = np.flatnonzero(~stray), []
+    for a in np.flatnonzero(stray):
+        odd = np.bitwise_count(sketch[members] ^ sketch[a]).sum(axis=1)
+        least, most = np.minimum(n[members], n[a]), np.maximum(n[members], n[a])
+        near = members[(component[members] != component[a]) & (odd < MAX_ODD) & (100 * least >= LIMIT_PERCENT * most)]
+        first = (bands[near] == bands[a]).argmax(axis=1)
+        near = near[bands[a][first] == band]
+        if not len(near):
+            continue
+        values = np.concatenate([sets[b] for b in near])
+        at = np.minimum(np.searchsorted(sets[a], values), len(sets[a]) - 1)
+        common = np.add.reduceat((sets[a][at] == values).astype(np.int64), np.cumsum(n[near]) - n[near])
+        near = near[100 * common >= LIMIT_PERCENT * (n[a] + n[near] - common)]
+        _, one_each = np.unique(component[near], return_index=True)
+        links.extend((rep[a], rep[b]) for b in near[one_each])
+    pairs = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in range(2)], names=["x", "y"])
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of every block; the rows of a block arrive one after another."""
+    waiting, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")], axis=1)
+        cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
+        for start, end in zip([0, *cuts], [*cuts, len(keys)]):
+            if waiting and tuple(keys[start]) != last:
+                yield _block_links(waiting)
+                waiting = []
+            waiting.append(batch.slice(start, end - start))
+            last = tuple(keys[start])
+    if waiting:
+        yield _block_links(waiting)
+
+
+def stray_links(open_: DataFrame, reps: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (x, y) between strays and members of other components, of open bands given as rows
+    of band, rep, component and main."""
+    rows = open_.join(reps.select("rep", "n", "bands", *SKETCH), "rep").withColumn("stray", F.col("component") != F.col("main"))
+    blocks = lambda size: F.ceil(F.sum(size) / BLOCK_SHINGLES).cast("int")
+    sizes = rows.groupBy("band").agg(
+        blocks("n").alias("m_blocks"), blocks(F.when(F.col("stray"), F.col("n"))).alias("s_blocks")
+    )
+    rows = stored(rows.join(sizes, "band"), "near-open-rows")
+    place = lambda of: F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    columns = ["band", "rep", "component", "n", "bands", *SKETCH]
+    strays = rows.where("stray").select(*columns, "stray", place("s_blocks").alias("i"), every("m_blocks").alias("j"))
+    members = rows.select(*columns, F.lit(False).alias("stray"), every("s_blocks").alias("i"), place("m_blocks").alias("j"))
+    sets = _sets(rows.select(F.col("rep").alias("id")).distinct(), docs, words, id_col, text_col)
+    # An id may have several texts; each goes with the signature of its size.
+    sets = sets.withColumns({"rep": F.col("id"), "n": F.expr("octet_length(members) div 8"), "h": F.xxhash64("members")})
+    sets = sets.dropDuplicates(["rep", "n", "h"]).drop("id", "h")
+    met = strays.unionByName(members).join(sets, ["rep", "n"])
+    met = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return stored(met.mapInArrow(_compare_blocks, "x BIGINT, y BIGINT"), "near-stray-links")
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -223,17 +300,7 @@ def near_duplicates(
     )
     split = stored(split, "near-split-bands")
     open_ = stored(placed.join(split, "band").select("band", "rep", "component", "main"), "near-open")
-    strays = open_.where("component <> main").select(
-        "band", F.col("rep").alias("a"), F.col("component").alias("a_component")
-    )
-    cross = (
-        strays.join(open_.select("band", F.col("rep").alias("b"), "component"), "band")
-        .where(F.col("a_component") != F.col("component"))
-        .select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        .distinct()
-        .join(stored(stars, "near-stars"), ["x", "y"], "left_anti")
-    )
-    more = confirmed(_promising(cross, reps), docs, words, id_col, text_col)
+    more = stray_links(open_, reps, docs, words, id_col, text_col)
     if not more.isEmpty():
         found = components(found.select(F.col("component").alias("x"), F.col("id").alias("y")).unionByName(more), "x", "y")
 

@@ -82,8 +82,10 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sum(not r.kept for r in rows) > 5
 
 
-def test_strays_are_compared(spark):
+@pytest.mark.parametrize("block", [near_dedup.BLOCK_SHINGLES, 150])
+def test_strays_are_compared(spark, monkeypatch, block):
     """A chain: each text is near the next only, so bands hold members that no star joins."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block)
     rng = random.Random(3)
     words = [f"w{rng.random():.12f}" for _ in range(100)]
     rows = []
