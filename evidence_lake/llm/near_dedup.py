@@ -13,9 +13,10 @@ Copies first become classes of equal sets, with one representative. No band list
    the component of the band's smallest id, its strays, are compared with members of other
    components. A link within a component adds nothing, and any other link has a stray on one side,
    so together the steps find all components that comparing all pairs would. Strays meet the others
-   in blocks of at most about BLOCK_SHINGLES a side, by sketch and then by full set, and only in the
-   first band they share; a stray keeps one link to each component. So what is written grows with
-   the members of bands, not with their pairs.
+   in blocks of at most about BLOCK_SHINGLES a side: first by sketch, in the first band they share,
+   which keeps of a block only the rows with a promising partner; then those rows by full set. A
+   stray keeps one link to each component. So what is written grows with the members of bands, not
+   with their pairs.
 
 With five values a band and forty bands, two sets at the limit of 0.8 meet in no band once in eight
 million times. Sketches leave out pairs that differ in MAX_ODD bits or more, five deviations beyond
@@ -28,7 +29,7 @@ different texts are compared by their texts. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +47,14 @@ MAX_ODD = 104
 LIMIT_PERCENT = 80
 MEMORY_WORDS = 400_000
 BLOCK_SHINGLES = 2_000_000
+# Up to so many ids (32 MB) are sent to the texts; more are met by a shuffle of both.
+BROADCAST_IDS = 4_000_000
 SCHEMA = (
     "doc_id BIGINT, n BIGINT, d1 BIGINT, d2 BIGINT, bands ARRAY<BIGINT>, "
     "s0 BIGINT, s1 BIGINT, s2 BIGINT, s3 BIGINT"
 )
 SKETCH = ("s0", "s1", "s2", "s3")
+BLOCK_COLUMNS = ["band", "i", "j", "rep", "component", "n", *SKETCH, "stray"]
 
 _rng = np.random.default_rng(20)
 FACTORS = (_rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * 2 + 1)[:, None]
@@ -171,6 +175,10 @@ def _sets(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: st
             sets = [hasher.shingles(t).tobytes() for t in byte_rows(batch.column(1), lower=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "members"])
 
+    # Written first, so that their number is known before the texts would be shuffled.
+    ids = stored(ids, "near-wanted")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return stored(texts.join(ids, "id", "left_semi").mapInArrow(build, "id BIGINT, members BINARY"), "near-sets")
 
@@ -197,24 +205,40 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, id_col: str, text_c
     return stored(both.mapInArrow(confirm, "x BIGINT, y BIGINT"), "near-links")
 
 
-def _block_links(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """Links between the strays of a block and its members of other components."""
-    block = pa.Table.from_batches(pieces)
-    band = block["band"][0].as_py()
-    rep, component, n = (block[c].to_numpy() for c in ("rep", "component", "n"))
+def _near(block: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each stray of a block with the members of other components whose sizes and sketches let
+    them reach the limit, by their places in the block."""
+    component, n = block["component"].to_numpy(), block["n"].to_numpy()
     sketch = np.stack([block[c].to_numpy() for c in SKETCH], axis=1).view(np.uint64)
-    bands = np.concatenate([c.flatten().to_numpy() for c in block["bands"].chunks]).reshape(-1, BANDS)
-    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in block["members"]]
     stray = block["stray"].to_numpy()
-    members, links = np.flatnonzero(~stray), []
+    members = np.flatnonzero(~stray)
     for a in np.flatnonzero(stray):
         odd = np.bitwise_count(sketch[members] ^ sketch[a]).sum(axis=1)
         least, most = np.minimum(n[members], n[a]), np.maximum(n[members], n[a])
         near = members[(component[members] != component[a]) & (odd < MAX_ODD) & (100 * least >= LIMIT_PERCENT * most)]
+        if len(near):
+            yield a, near
+
+
+def _block_candidates(block: pa.Table) -> list[pa.RecordBatch]:
+    """Rows of a block that have a promising partner in it, met in no earlier band."""
+    band = block["band"][0].as_py()
+    bands = np.concatenate([c.flatten().to_numpy() for c in block["bands"].chunks]).reshape(-1, BANDS)
+    keep = np.zeros(len(block), bool)
+    for a, near in _near(block):
         first = (bands[near] == bands[a]).argmax(axis=1)
         near = near[bands[a][first] == band]
-        if not len(near):
-            continue
+        keep[near] = True
+        keep[a] |= len(near) > 0
+    return block.select(BLOCK_COLUMNS).filter(pa.array(keep)).combine_chunks().to_batches(len(block))
+
+
+def _block_links(block: pa.Table) -> list[pa.RecordBatch]:
+    """Links between the strays of a block and its members of other components."""
+    rep, component, n = (block[c].to_numpy() for c in ("rep", "component", "n"))
+    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in block["members"]]
+    links = []
+    for a, near in _near(block):
         values = np.concatenate([sets[b] for b in near])
         at = np.minimum(np.searchsorted(sets[a], values), len(sets[a]) - 1)
         common = np.add.reduceat((sets[a][at] == values).astype(np.int64), np.cumsum(n[near]) - n[near])
@@ -222,25 +246,29 @@ def _block_links(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
         _, one_each = np.unique(component[near], return_index=True)
         links.extend((rep[a], rep[b]) for b in near[one_each])
     pairs = np.array(links, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in range(2)], names=["x", "y"])
-
-
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of every block; the rows of a block arrive one after another."""
-    waiting, last = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")], axis=1)
-        cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
-        for start, end in zip([0, *cuts], [*cuts, len(keys)]):
-            if waiting and tuple(keys[start]) != last:
-                yield _block_links(waiting)
-                waiting = []
-            waiting.append(batch.slice(start, end - start))
-            last = tuple(keys[start])
-    if waiting:
-        yield _block_links(waiting)
+    return [pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in range(2)], names=["x", "y"])]
+
+
+def _by_block(work: Callable[[pa.Table], list[pa.RecordBatch]]) -> Callable:
+    """`work` done on every block; the rows of a block arrive one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")], axis=1)
+            cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
+            for start, end in zip([0, *cuts], [*cuts, len(keys)]):
+                if waiting and tuple(keys[start]) != last:
+                    yield from work(pa.Table.from_batches(waiting))
+                    waiting = []
+                waiting.append(batch.slice(start, end - start))
+                last = tuple(keys[start])
+        if waiting:
+            yield from work(pa.Table.from_batches(waiting))
+
+    return run
 
 
 def stray_links(open_: DataFrame, reps: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -257,13 +285,16 @@ def stray_links(open_: DataFrame, reps: DataFrame, docs: DataFrame, words: int,
     columns = ["band", "rep", "component", "n", "bands", *SKETCH]
     strays = rows.where("stray").select(*columns, "stray", place("s_blocks").alias("i"), every("m_blocks").alias("j"))
     members = rows.select(*columns, F.lit(False).alias("stray"), every("s_blocks").alias("i"), place("m_blocks").alias("j"))
-    sets = _sets(rows.select(F.col("rep").alias("id")).distinct(), docs, words, id_col, text_col)
+    met = strays.unionByName(members).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in met.select(*BLOCK_COLUMNS).schema)
+    met = stored(met.mapInArrow(_by_block(_block_candidates), schema), "near-stray-candidates")
+    sets = _sets(met.select(F.col("rep").alias("id")).distinct(), docs, words, id_col, text_col)
     # An id may have several texts; each goes with the signature of its size.
     sets = sets.withColumns({"rep": F.col("id"), "n": F.expr("octet_length(members) div 8"), "h": F.xxhash64("members")})
     sets = sets.dropDuplicates(["rep", "n", "h"]).drop("id", "h")
-    met = strays.unionByName(members).join(sets, ["rep", "n"])
+    met = met.join(sets, ["rep", "n"]).select(*BLOCK_COLUMNS, "members")
     met = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return stored(met.mapInArrow(_compare_blocks, "x BIGINT, y BIGINT"), "near-stray-links")
+    return stored(met.mapInArrow(_by_block(_block_links), "x BIGINT, y BIGINT"), "near-stray-links")
 
 
 def near_duplicates(
