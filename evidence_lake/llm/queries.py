@@ -6,19 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .common import benchmark, documents, labels, learnable
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .line_dedup import apply_bitmaps, keep_bitmaps
+from .license_sql import SQL as OP13_SQL
+from .licenses import license_report
 from .near_dedup import near_duplicates
 from .piece_dropout import decode, encode
 from .quality import score_quality, train_quality
 from .secrets import secret_scan
+from .spelling import spelling_groups
 from .token_counts import token_counts
 from .token_files import read_ids, scratch_path, write_ids
 from .toxicity import score_toxicity, train_toxicity
 
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
 PIECES = "piece_bpe_32k.model"
 DROPOUT_SEED = 17
@@ -116,6 +121,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES)
+    return align(documents(spark, sf_dir), a, b).drop("groups")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(documents(spark, sf_dir))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -129,6 +147,9 @@ QUERIES = {
         op8_near_dedup,
         op9_secrets,
         op10_token_counts,
+        op11_alignment,
+        op12_spelling,
+        op13_licenses,
     )
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op13_licenses": OP13_SQL}

@@ -170,5 +170,5 @@ def test_pipeline_stages(spark, odd, none, item, tmp_path):
 
 
 def test_queries_are_named_by_number():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
