@@ -122,15 +122,20 @@ def merged(runs: DataFrame) -> DataFrame:
     return numbered.withColumn("span", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def verified(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def verified(docs: DataFrame, runs: DataFrame, templates: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every row with its number of words and, for each diagonal, the template places that hold: each
     word of the k-gram there equals the text's."""
-    grouped = runs.groupBy(*KEY).agg(F.collect_list(F.struct("t", "k", "span", "d", "js", "template")).alias("runs"))
+    grouped = runs.groupBy(*KEY).agg(F.collect_list(F.struct("t", "span", "d", "js")).alias("runs"))
+    # Templates are few and become constants of the plan.
+    known = sorted((r.t, r.k, r.template) for r in templates.collect())
+    wording = F.array(*(F.array(*map(F.lit, template)) for _, _, template in known)).alias("_wording")
+    sizes = F.array(*(F.lit(k) for _, k, _ in known)).alias("_sizes")
     left = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), words_of(F.col(text_col)).alias("words"))
     right = renamed_key(stored(grouped, "license-diagonals"))
     holds = """transform(coalesce(runs, array()), r -> named_struct('t', r.t, 'span', r.span, 'd', r.d, 'js',
-        filter(r.js, j -> slice(words, r.d + j + 1, r.k) = slice(r.template, j + 1, r.k))))"""
-    return left.join(right, same_row(left, right), "left").select(
+        filter(r.js, j -> slice(words, r.d + j + 1, _sizes[r.t]) = slice(_wording[r.t], j + 1, _sizes[r.t]))))"""
+    joined = left.join(right, same_row(left, right), "left").select("*", wording, sizes)
+    return joined.select(
         "doc_id", *KEY, F.size("words").cast("long").alias("n_words"), F.expr(holds).alias("runs")
     )
 
@@ -171,9 +176,9 @@ def license_scan(
     known = template_words(docs.sparkSession, templates)
     if any(len(t.text) > 1 << 20 for t in templates):
         raise ValueError("a template holds a million characters at most")
-    facts = known.select("t", "k", "is_phrase", "template")
+    facts = known.select("t", "is_phrase")
     found = diagonals(docs, template_places(known), id_col, text_col).join(F.broadcast(facts), "t")
-    checked = stored(verified(docs, merged(found), id_col, text_col), "license-runs")
+    checked = stored(verified(docs, merged(found), known, id_col, text_col), "license-runs")
     return checked.select("doc_id", *KEY, "n_words"), stored(spans(checked, known, least), "license-spans")
 
 
