@@ -30,9 +30,14 @@ SEED = 17
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labels of the documents at hand, then keeps those scored as good."""
+    """Learns from the labels of the documents at hand, then keeps those scored as good.
+
+    Scores are written before they are filtered by: a filter on computed scores would be pushed into
+    the statistics and write each of them out again in every rule.
+    """
     model = train_quality(docs, common.labels(spark, sf_dir))
-    return score_quality(docs, model, keep=docs.columns).where("_q_predicted = 1").select(*docs.columns)
+    scored = common.stored(score_quality(docs, model, keep=docs.columns), "pipeline-scores")
+    return scored.where("_q_predicted = 1").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
