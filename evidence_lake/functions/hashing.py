@@ -10,9 +10,17 @@ def line_sha256(line: Column) -> Column:
     return F.sha2(line, 256)
 
 
-def event_key(source: Column, host: Column, path: Column, offset: Column, sha: Column) -> Column:
-    """Deterministic event id: the same bytes at the same place always get the same id."""
-    return F.sha2(F.concat_ws("|", source, host, path, offset.cast("string"), sha), 256)
+def event_key(
+    source: Column, host: Column, path: Column, offset: Column, sha: Column, generation: Column | None = None
+) -> Column:
+    """Deterministic event id: the same bytes at the same place of the same file always get the same id.
+
+    A file that replaced another under the same path counts its generation; the first adds nothing.
+    """
+    place = [offset.cast("string")]
+    if generation is not None:
+        place.append(F.when(generation > 0, F.concat(F.lit("g"), generation.cast("string"))))
+    return F.sha2(F.concat_ws("|", source, host, path, *place, sha), 256)
 
 
 def _newline_terminated(items: Column) -> Column:

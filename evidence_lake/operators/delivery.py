@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.ticks import floor_div
 from ..schema import (
@@ -13,22 +12,11 @@ from ..schema import (
     DEAD_LETTER_DDL,
     DEAD_LETTER_STATUS_DDL,
     HEARTBEAT,
-    LEDGER_DDL,
     MAX_ATTEMPTS,
     TICK_SECONDS,
 )
-from ..sources.ledger import latest_offsets
-
-
-def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """Parquet table, or an empty one of that shape if nothing was written yet."""
-    try:
-        return spark.read.schema(ddl).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            columns = T.StructType.fromDDL(ddl).fields
-            return spark.range(0).select(*[F.lit(None).cast(c.dataType).alias(c.name) for c in columns])
-        raise
+from ..sources.ledger import latest_offsets, ledger_rows, read_ledger
+from ..tables import read_table
 
 
 # Decisions
@@ -197,15 +185,8 @@ def commit_points(events: DataFrame, keys: list[str] | None = None) -> DataFrame
 
 
 def append_points(points: DataFrame, path: str, now_ns: int) -> None:
-    """Append commit points to the ledger."""
-    points.select(
-        "file_path",
-        F.lit(None).cast("string").alias("file_id"),
-        "byte_offset",
-        "last_line_number",
-        "last_sha256",
-        F.lit(now_ns).cast("bigint").alias("last_flushed_ns"),
-    ).write.mode("append").parquet(path)
+    """Append commit points to a ledger without rounds."""
+    ledger_rows(points, now_ns).write.mode("append").parquet(path)
 
 
 def commit_offsets(handled: DataFrame, path: str, now_ns: int) -> None:
@@ -215,13 +196,12 @@ def commit_offsets(handled: DataFrame, path: str, now_ns: int) -> None:
 
 def compact_offsets(spark: SparkSession, path: str, target: str) -> None:
     """Write the newest entry per file to a new table; the caller switches over to it."""
-    latest_offsets(read_offsets(spark, path)).select(
-        "file_path", "file_id", "byte_offset", "last_line_number", "last_sha256", "last_flushed_ns"
-    ).write.mode("errorifexists").parquet(target)
+    newest = latest_offsets(read_offsets(spark, path))
+    newest.write.mode("errorifexists").parquet(target)
 
 
 def read_offsets(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, LEDGER_DDL)
+    return read_ledger(spark, path)
 
 
 # Dead letters

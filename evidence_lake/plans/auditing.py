@@ -168,3 +168,101 @@ FROM fields GROUP BY log_id
 )
 def chain_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.chain_heads(damaged(spark, sf_dir))
+
+
+# The same records arriving in three rounds, in segments of this many.
+ROUNDS = 3
+ROUND_SEGMENT = 200
+
+ROUNDS_SQL = f"""
+numbered AS (
+  SELECT 'host-' || (user_id % 10) AS parent, event_id % {ROUNDS} AS round, event_id,
+         row_number() OVER (PARTITION BY user_id % 10, event_id % {ROUNDS} ORDER BY event_id) - 1 AS n,
+         CASE event_type {KIND_SQL} END AS kind, '{{"event":' || event_id || '}}' AS payload,
+         epoch_us(ts) * 1000 AS ts_ns
+  FROM events
+),
+cut AS (
+  SELECT *, parent || '/' || lpad(CAST(round AS VARCHAR), 8, '0') || '/'
+         || lpad(CAST(n // {ROUND_SEGMENT} AS VARCHAR), 8, '0') AS log_id, n % {ROUND_SEGMENT} AS pos
+  FROM numbered
+)
+"""
+
+
+def rounds(spark: SparkSession, sf_dir: str) -> str:
+    """The audit that three rounds of events leave."""
+    records = audit_records(spark, sf_dir).withColumns(
+        {"parent": F.substring_index("log_id", "/", 1), "_chunk": floor_div(F.col("event_id"), 65_536)}
+    )
+    root = shared_dir(spark, "audit-rounds")
+    for number in range(ROUNDS):
+        of_round = records.where(F.col("event_id") % ROUNDS == number).drop("log_id")
+        audit.emit_round(
+            spark, of_round, root, number, number, order=["event_id"], chunk=["_chunk"], size=ROUND_SEGMENT
+        )
+    return root
+
+
+@query(
+    "audit_forward",
+    f"""
+WITH RECURSIVE {ROUNDS_SQL},
+linked AS (
+  SELECT log_id, pos, parent, round,
+         '{{"kind":"' || kind || '","payload":' || payload || ',"prev_hash":"genesis","seq":0,"ts_ns":'
+         || ts_ns || '}}' AS line
+  FROM cut WHERE pos = 0
+  UNION ALL
+  SELECT c.log_id, c.pos, c.parent, c.round,
+         '{{"kind":"' || c.kind || '","payload":' || c.payload || ',"prev_hash":"' || sha256(l.line)
+         || '","seq":' || c.pos || ',"ts_ns":' || c.ts_ns || '}}'
+  FROM linked l JOIN cut c ON c.log_id = l.log_id AND c.pos = l.pos + 1
+),
+heads AS (
+  SELECT parent, round, row_number() OVER (PARTITION BY parent ORDER BY log_id) - 1 AS pos,
+         '{{"head":"' || sha256(arg_max(line, linked.pos)) || '","records":' || (max(linked.pos) + 1)
+         || ',"segment":"' || log_id || '"}}' AS payload
+  FROM linked GROUP BY parent, round, log_id
+),
+sealed AS (
+  SELECT parent AS log_id, pos, '{{"kind":"segment_sealed","payload":' || payload
+         || ',"prev_hash":"genesis","seq":0,"ts_ns":' || round || '}}' AS line
+  FROM heads WHERE pos = 0
+  UNION ALL
+  SELECT h.parent, h.pos, '{{"kind":"segment_sealed","payload":' || h.payload || ',"prev_hash":"'
+         || sha256(s.line) || '","seq":' || h.pos || ',"ts_ns":' || h.round || '}}'
+  FROM sealed s JOIN heads h ON h.parent = s.log_id AND h.pos = s.pos + 1
+)
+SELECT log_id, pos, line FROM sealed
+""",
+)
+def audit_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parent logs: every segment of every round sealed by its head, in one chain a host."""
+    return audit.read_round_table(spark, rounds(spark, sf_dir), "parents")
+
+
+@query(
+    "audit_verify",
+    f"""
+WITH {ROUNDS_SQL},
+segments AS (
+  SELECT parent, log_id AS segment, count(*) AS anchored, arg_max(event_id, pos) AS last_event,
+         bool_or(event_id % 97 = 5 AND pos < last_pos) AS inner_edit
+  FROM (SELECT *, max(pos) OVER (PARTITION BY log_id) AS last_pos FROM cut) GROUP BY parent, log_id
+)
+SELECT parent, segment, anchored, CASE WHEN last_event % 13 = 4 THEN 0 ELSE anchored END AS records,
+       CASE WHEN last_event % 13 = 4 THEN 'missing' WHEN inner_edit THEN 'broken'
+            WHEN last_event % 97 = 5 THEN 'edited_end' ELSE 'ok' END AS status
+FROM segments
+""",
+)
+def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records edited by rule and whole segments removed by rule, as the anchors show them."""
+    root = rounds(spark, sf_dir)
+    event = F.regexp_extract("line", r'"event":(\d+)', 1).cast("bigint")
+    segments = audit.read_round_table(spark, root, "segments").withColumn("_event", event)
+    gone = segments.groupBy("log_id").agg(F.max_by("_event", "pos").alias("_last")).where(F.col("_last") % 13 == 4)
+    edited = F.when(event % 97 == 5, F.replace("line", F.lit('"event":'), F.lit('"event":1'))).otherwise(F.col("line"))
+    left = segments.join(gone, "log_id", "left_anti").withColumn("line", edited).drop("_event")
+    return audit.segment_status(left, audit.read_round_table(spark, root, "parents"))

@@ -7,6 +7,9 @@ session transcripts, one line per turn: one log file for 32 conversations, rolle
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from ..operators.packing import event_size
 from ..schema import CHUNK_BYTES
 from ..session import configure, shared_dir
 from ..sources.adapters import Capture, to_canonical
+from ..sources.byte_ranges import open_file_system
 
 SLOT_BYTES = 256
 # A log file holds this many conversations and no more than this many turns of each, so the
@@ -181,3 +185,27 @@ def write_transcripts(spark: SparkSession, sf_dir: str) -> str:
 def file_key(name: str) -> Column:
     """Partition value in a transcript's path."""
     return F.regexp_extract("file_path", f"{name}=(\\d+)/", 1).cast("bigint").alias(name)
+
+
+def write_logs(lines: DataFrame, root: str, order: list[str]) -> None:
+    """Lines (name, value and their order) as files of fixed names, as a host writes its logs; a file that
+    is there is replaced. Executors write, each its own files."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file_system, inner = open_file_system(root)
+        name, out = None, None
+        for batch in batches:
+            for file, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if file != name:
+                    if out:
+                        out.close()
+                    path = f"{inner}/{file}"
+                    file_system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    name, out = file, file_system.open_output_stream(path)
+                out.write(value.encode() + b"\n")
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([], pa.int64())})
+
+    ordered = lines.repartition("name").sortWithinPartitions("name", *order)
+    ordered.select("name", "value").mapInArrow(put, "n BIGINT").write.format("noop").mode("overwrite").save()

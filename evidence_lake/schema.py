@@ -44,7 +44,7 @@ EVENT_COLUMNS = [field.split()[0] for field in EVENT_DDL.replace("\n", " ").spli
 
 LEDGER_DDL = """
 file_path STRING, file_id STRING, byte_offset BIGINT, last_line_number BIGINT,
-last_sha256 STRING, last_flushed_ns BIGINT
+last_sha256 STRING, last_flushed_ns BIGINT, generation BIGINT
 """
 
 CURSOR_DDL = "db_path STRING, table_name STRING, last_row_id BIGINT, last_flushed_ns BIGINT"

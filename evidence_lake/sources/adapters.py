@@ -67,6 +67,9 @@ def to_canonical(
     host = F.lit(capture.hostname) if hostname is None else hostname
     captured = F.lit(capture.captured_at_ns).cast("bigint")
     extra = extra or {}
+    generation = F.col("generation") if "generation" in lines.columns else None
+    if generation is not None:
+        extra = {**extra, "generation": generation}
     base = lines.select(
         F.lit(EVENT_SCHEMA_VERSION).alias("event_schema_version"),
         F.lit(TOOL_EVENT).alias("event_type"),
@@ -100,6 +103,7 @@ def to_canonical(
                 F.col("file_path"),
                 F.col("byte_offset"),
                 F.col("sha256"),
+                generation,
             ),
             "tick_index": tick_index(F.col("ts_ns"), capture.tick_seconds),
             "ts": F.timestamp_micros(F.expr("ts_ns div 1000")),

@@ -63,7 +63,7 @@ def test_ledger_newest_wins_and_old_rows_read_as_line_zero(spark, tmp_path):
     path = str(tmp_path / "ledger")
     old = "file_path STRING, file_id STRING, byte_offset BIGINT, last_sha256 STRING, last_flushed_ns BIGINT"
     spark.createDataFrame([("C:\\old.jsonl", None, 12345, "s", 1)], old).write.parquet(path)
-    rows = [("/a", None, 10, 1, "x", 5), ("/a", None, 7, 9, "y", 6), ("/a", None, 8, 2, "z", 6)]
+    rows = [("/a", None, 10, 1, "x", 5, None), ("/a", None, 7, 9, "y", 6, 0), ("/a", None, 8, 2, "z", 6, 0)]
     spark.createDataFrame(rows, LEDGER_DDL).write.mode("append").parquet(path)
     got = {r.file_path: (r.byte_offset, r.last_line_number) for r in latest_offsets(read_ledger(spark, path)).collect()}
     assert got == {"C:/old.jsonl": (12345, 0), "/a": (8, 2)}
