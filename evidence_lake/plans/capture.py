@@ -504,14 +504,21 @@ def stripped_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# User rules of the redaction queries: e-mail addresses and 40-digit hashes.
-USER_PATTERNS = (r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", r"\b[0-9a-f]{40}\b")
+# User rules of the redaction queries: e-mail addresses, 40-digit hashes, and words that only a reading
+# as Python's finds: letters beyond ASCII in either case, a bracket in a class, a named group.
+USER_PATTERNS = (
+    r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}",
+    r"\b[0-9a-f]{40}\b",
+    r"(?i)(?P<start>é)aux\w+[[.,]",
+)
 PATTERNS = effective_patterns(USER_PATTERNS)
+# The last rule as the SQL engine has to be told it.
+SQL_PATTERNS = (*PATTERNS[:-1], r"(?i)éaux[\p{L}\p{N}_]+[\[.,]")
 
 
 def _nested_replace(column: str) -> str:
     out = column
-    for index, pattern in enumerate(PATTERNS):
+    for index, pattern in enumerate(SQL_PATTERNS):
         out = f"regexp_replace({out}, '{pattern}', '[REDACTED:{index}]', 'g')"
     return out
 
@@ -540,7 +547,7 @@ def redacted_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _report_sql() -> str:
     parts, left = [], "text"
-    for index, pattern in enumerate(PATTERNS):
+    for index, pattern in enumerate(SQL_PATTERNS):
         parts.append(
             f"SELECT source, {index} AS rule, "
             f"len(regexp_extract_all({left}, '{pattern}')) AS n FROM documents"

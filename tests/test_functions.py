@@ -163,6 +163,6 @@ def test_required_text_on_generated_matches(data):
 def test_user_patterns_are_checked():
     assert effective_patterns(("x",))[-1] == "x"
     assert effective_patterns(("x",), include_defaults=False) == ("x",)
-    for bad in (r"(?P<n>a)", r"a\Z", "("):
+    for bad in (r"(a)?(?(1)b|c)", r"(?i)(a)\1", "("):
         with pytest.raises((ValueError, re.error)):
             effective_patterns((bad,))
