@@ -45,6 +45,8 @@ CHUNK_BYTES = 8 << 20
 MEMORY_WINDOWS = 300_000
 MEMORY_TOKENS = 5_000_000
 MANY_LINKS = 4096
+# No id: stands between the two sides of a window's key.
+BETWEEN = np.array([-1], "<i4").tobytes()
 # The words of byte-level BPE files (fixed value of that format).
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -73,6 +75,7 @@ class Side:
     def __init__(self, raw: list[bytes]):
         self.raw = raw
         self.length = np.array([len(r) for r in raw], np.int64)
+        self.names = list(map(str, range(len(raw))))
         self.marked = np.array([r[:1] == b" " for r in raw])
 
 
@@ -107,31 +110,35 @@ class Aligner:
         )
         self.tok_b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.b = Side([self._piece(i) for i in range(self.tok_b.get_piece_size())])
+        self.text, self.pairs, self.times = [], [], []
+        self.met = np.zeros(0, np.int64)
         self.forget()
 
     def _piece(self, i: int) -> bytes:
         piece = self.tok_b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.tok_b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def forget(self) -> None:
-        self.number: dict[tuple[bytes, bytes], int] = {}
-        self.text: list[str] = []
-        self.pairs: list[bytes] = []
-        self.times: list[bytes] = []
-        self.n_groups = array("q")
-        self.n_links = array("q")
-        self.held = 0
-
-    def _learn(self, keys: list[tuple[bytes, bytes]]) -> None:
-        """Groups and linked pairs of new windows, all windows at once."""
-        a, b = (np.frombuffer(b"".join(part), "<i4").astype(np.int64) for part in zip(*keys))
+    def forget(self, kept: int = 0) -> None:
+        """Keep the windows met in most calls, at most `kept` of them."""
+        keys = list(self.number) if kept else []
+        most = np.sort(np.argsort(-self.met[: len(keys)], kind="stable")[:kept]).tolist()
+        self.number: dict[bytes, int] = {keys[k]: i for i, k in enumerate(most)}
+        for name in ("text", "pairs", "times"):
+            setattr(self, name, [getattr(self, name)[k] for k in most])
+        for name in ("n_groups", "n_links"):
+            setattr(self, name, array("q", [getattr(self, name)[k] for k in most]))
+        self.met = np.zeros(len(most), np.int64)
+        self.held = sum(map(len, self.pairs)) // 8
+
+    def _learn(self, keys: list[bytes], a: np.ndarray, b: np.ndarray, size_a: np.ndarray) -> None:
+        """Groups and linked pairs of new windows, all windows at once; size_a: their ids of side A."""
         ends_a, ends_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
         # Both sides of a window spell the same bytes, so ends stay comparable from window to window.
         shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
         n_a, n_b = (np.bincount(g, minlength=len(shared)) for g in (group_a, group_b))
         from_b = np.cumsum(n_b) - n_b
-        last = np.cumsum([len(k) // 4 for k, _ in keys]) - 1
+        last = np.cumsum(size_a) - 1
         stop = group_a[last] + 1
         # Links of a group with very many tokens are counted by distinct ids, others token by token.
         many = n_a * n_b > MANY_LINKS
@@ -149,7 +156,7 @@ class Aligner:
         order = np.argsort(where, kind="stable") if many.any() else slice(None)
         raw_pairs, raw_times = pairs[order].astype("<i8").tobytes(), times[order].astype("<i8").tobytes()
         pair_stop = 8 * np.searchsorted(where[order], stop)
-        words = [f"{x}|{y}" for x, y in zip(listed(a, n_a), listed(b, n_b))]
+        words = [f"{x}|{y}" for x, y in zip(listed(self.a, a, n_a), listed(self.b, b, n_b))]
         links = np.concatenate([[0], np.cumsum(n_a * n_b)])
         first = np.concatenate([[0], stop[:-1]])
         self.n_groups.extend((stop - first).tolist())
@@ -166,19 +173,20 @@ class Aligner:
 
     def align(self, texts: list[str]) -> tuple[dict[str, np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Counts and group texts of each text; its distinct pairs in order, and their number of links."""
-        if len(self.number) > MEMORY_WINDOWS or self.held > MEMORY_TOKENS:
+        if len(self.number) > MEMORY_WINDOWS:
+            self.forget(MEMORY_WINDOWS // 2)
+        if self.held > MEMORY_TOKENS:
             self.forget()
-        coded_a = [self.tok_a.encode_ordinary(" " + t) for t in texts]
+        # Merging bytes loses none, so side A always spells its text.
+        coded_a = [self.tok_a.encode_to_numpy(" " + t) for t in texts]
         coded_b = self.tok_b.encode(texts, num_threads=1)
-        raw_a, raw_b = self.a.raw.__getitem__, self.b.raw.__getitem__
+        raw_b = self.b.raw.__getitem__
         for i, text in enumerate(texts):
-            want = b" " + text.encode()
-            if not text or b"".join(map(raw_a, coded_a[i])) != want or b"".join(map(raw_b, coded_b[i])) != want:
-                coded_a[i] = coded_b[i] = []
+            if not text or b"".join(map(raw_b, coded_b[i])) != b" " + text.encode():
+                coded_a[i], coded_b[i] = coded_a[i][:0], []
         n_a, n_b = (np.fromiter(map(len, coded), np.int64, len(texts)) for coded in (coded_a, coded_b))
-        flat_a, flat_b = (
-            np.fromiter(chain.from_iterable(coded), "<i4", int(n.sum())) for coded, n in ((coded_a, n_a), (coded_b, n_b))
-        )
+        flat_a = np.concatenate(coded_a).astype("<i4")
+        flat_b = np.fromiter(chain.from_iterable(coded_b), "<i4", int(n_b.sum()))
         start_a, start_b = (
             np.cumsum(side.length[flat]) - side.length[flat] for side, flat in ((self.a, flat_a), (self.b, flat_b))
         )
@@ -189,10 +197,18 @@ class Aligner:
         cut_a = np.append(np.searchsorted(start_a, anchors), len(flat_a))
         cut_b = np.append(np.searchsorted(start_b, anchors), len(flat_b))
         some, which = distinct_windows((flat_a, cut_a), (flat_b, cut_b))
-        keys = list(zip(slices(flat_a, cut_a, some), slices(flat_b, cut_b, some)))
-        if new := list({key: None for key in keys if key not in self.number}):
-            self._learn(new)
-        windows = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))[which]
+        keys = [x + BETWEEN + y for x, y in zip(slices(flat_a, cut_a, some), slices(flat_b, cut_b, some))]
+        if new := {key: i for i, key in enumerate(keys) if key not in self.number}:
+            at = some[np.fromiter(new.values(), np.int64, len(new))]
+            part_a, part_b = (
+                np.frombuffer(b"".join(slices(flat, cut, at)), "<i4").astype(np.int64)
+                for flat, cut in ((flat_a, cut_a), (flat_b, cut_b))
+            )
+            self._learn(list(new), part_a, part_b, cut_a[at + 1] - cut_a[at])
+            self.met = np.append(self.met, np.zeros(len(new), np.int64))
+        found = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        np.add.at(self.met, found, 1)
+        windows = found[which]
         numbers = windows.tolist()
         window_stop = np.searchsorted(cut_a[:-1], np.cumsum(n_a))
         owner = np.repeat(np.arange(len(texts)), np.diff(window_stop, prepend=0))
@@ -233,9 +249,9 @@ class Aligner:
         return names[distinct % len(names)], np.bincount(distinct // len(names), minlength=n), np.add.reduceat(links, first)
 
 
-def listed(ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+def listed(side: Side, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
     """Decimal ids of each group, joined by commas."""
-    names = list(map(str, ids.tolist()))
+    names = list(map(side.names.__getitem__, ids.tolist()))
     stop = np.cumsum(sizes)
     return [names[s] if e - s == 1 else ",".join(names[s:e]) for s, e in zip((stop - sizes).tolist(), stop.tolist())]
 

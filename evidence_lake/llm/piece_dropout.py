@@ -1,18 +1,22 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
-Words are segmented by an agenda of candidate merges, best score first, then leftmost. A popped
-candidate is thrown away if the keyed hash of (seed, stream, word, place, pair) falls below the
-rate, so segmentations vary but never depend on where or how often a task runs. The agendas of all
-words of a batch advance together, one candidate each a round. Occurrences of a word are dealt over
-STREAMS streams by a keyed hash of the document and their number in it; within a stream a word
-has one segmentation, which is remembered. At rate 0 the result is the library's.
+A word is segmented by an agenda of candidate merges, best score first, then leftmost. Candidates are
+numbered as they are popped; each occurrence of a word has bits of its own, drawn by a keyed hash of
+(seed, document, place in the document), and a candidate whose bit is set is thrown away. The rate is
+the share of set bits, to 2**-16. So every occurrence may be segmented in its own way, and none depends
+on where or how often a task runs. At rate 0 the result is the library's.
+
+Segmentations of a word form a tree: a node is the list of candidates thrown away so far. Nodes are
+remembered, not outcomes: an occurrence walks from node to node by its own bits, and only nodes met for
+the first time are worked out, all of a batch together. Words of more than LONG_WORD characters, and those
+that pop more candidates than a node can number, are segmented one by one with a heap.
 
 No piece reaches over the start of a run of blanks or over a line feed, so words are independent.
 U+2581 in a text, which the library cannot tell from a blank, is written as its three bytes;
 characters without a piece are bytes as well. Decoding gives back every text exactly.
 
 Defined cases: a null text stays null (no pieces); an empty text has an empty list; a null id draws
-the streams of id 0; repeated rows get equal pieces; other columns pass through `encode` unchanged.
+the bits of id 0; repeated rows get equal pieces; other columns pass through `encode` unchanged.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -32,19 +36,33 @@ from .common import mix64, small_batches
 from .ragged import PairTable, merge
 
 RATE = 0.1
-STREAMS = 4
-MEMORY_WORDS = 300_000
+RATE_BITS = 16
+MEMORY_NODES = 500_000
+GROUP_CHARS = 1 << 21
+LONG_WORD = 64
 BLANK = "▁"
 FIRST_PIECE = 0x110000
 UNITS = re.compile(f" *[^ \n{BLANK}]+| +|\n|{BLANK}").findall
-MERGE_SYMBOLS = 1_000_000
+MERGE_WORDS = 100_000
+
+
+def keyed(seed: int, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """One hash for each (document, place)."""
+    start = mix64(np.array([seed & 0xFFFFFFFFFFFFFFFF], np.uint64) + np.uint64(1))
+    return mix64(mix64(ids.astype(np.uint64) + start) + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def keyed(*values: int) -> int:
-    total = np.zeros(1, np.uint64)
-    for value in values:
-        total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + np.uint64(value & 0xFFFFFFFFFFFFFFFF))
-    return int(total[0])
+def drop_bits(keys: np.ndarray, rate: float, block: int = 0) -> np.ndarray:
+    """64 bits for each key, each set with probability `rate`; `block` counts further 64 bits."""
+    level = round(rate * (1 << RATE_BITS))
+    bits = np.zeros(len(keys), np.uint64)
+    if level >= 1 << RATE_BITS:
+        return ~bits
+    # From the last digit of the rate on: a set digit halves the distance to 1, another to 0.
+    for digit in range((level & -level).bit_length() - 1 if level else RATE_BITS, RATE_BITS):
+        fresh = mix64(keys + np.uint64((block * RATE_BITS + digit + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
+        bits = bits | fresh if (level >> digit) & 1 else bits & fresh
+    return bits
 
 
 class PieceModel:
@@ -78,6 +96,7 @@ class PieceModel:
                     both = (symbol.get(p, ord(p[0])) for p in (left, right))
                     pairs.append((*both, ranks[model.get_score(i)], symbol[piece]))
         self.table = PairTable(*np.array(pairs, np.int64).T)
+        self.pairs = {(left, right): (rank, merged) for left, right, rank, merged in pairs}
 
     def _finish(self, symbols: np.ndarray) -> bytes:
         """Ids of merged symbols, little-endian."""
@@ -91,29 +110,24 @@ class PieceModel:
                 out += self.byte_ids[list(chr(s).encode())].tolist()
         return np.array(out, "<i4").tobytes()
 
-    def segment(self, words: list[str], key: int, rate: float) -> list[bytes]:
-        """Ids of each word."""
-        result, part, size = [], [], 0
-        for word in words:
-            part.append(word)
-            size += len(word)
-            if size >= MERGE_SYMBOLS:
-                result += self._segment(part, key, rate)
-                part, size = [], 0
-        return result + (self._segment(part, key, rate) if part else [])
-
-    def _segment(self, words: list[str], key: int, rate: float) -> list[bytes]:
+    def segment(self, words: list[str], thrown: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Ids of each word where the candidates of the set bits of `thrown` are thrown away, and how many
+        candidates were popped."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
         points[points == 32] = ord(BLANK)
-        own = np.fromiter((xxhash.xxh64_intdigest(w, key & 0x7FFFFFFFFFFFFFFF) for w in words), np.uint64, len(words))
-        limit = np.uint64(min(int(rate * 2**64), 2**64 - 1))
+        popped = np.zeros(len(words), np.int64)
 
         def skip(word: np.ndarray, left: np.ndarray, right: np.ndarray, pair: np.ndarray) -> np.ndarray:
-            place = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
-            return mix64(own[word] + mix64(place) + mix64(pair.astype(np.uint64) + np.uint64(1))) < limit
+            # Every unfinished word pops one candidate a round.
+            number = popped[word]
+            popped[word] += 1
+            return (number < 64) & ((thrown[word] >> np.minimum(number, 63).astype(np.uint64)) & np.uint64(1) == 1)
 
-        symbols, counts = merge(points, lengths, self.table, every=False, skip=skip if rate > 0 else None)
+        symbols, counts = merge(points, lengths, self.table, every=False, skip=skip)
+        return self._ids(words, lengths, symbols, counts), popped
+
+    def _ids(self, words: list[str], lengths: np.ndarray, symbols: np.ndarray, counts: np.ndarray) -> list[bytes]:
         # The literal blank sign is a unit of its own and must not become a blank.
         single = np.flatnonzero(lengths == 1)
         literal = {i for i in single.tolist() if words[i] == BLANK}
@@ -134,10 +148,47 @@ class PieceModel:
                 out.append(self._finish(symbols[end - count : end]))
         return out
 
+    def segment_alone(self, word: str, key: int, rate: float) -> bytes:
+        """Ids of one word, however long."""
+        symbols: list[int | None] = [ord(BLANK) if c == " " else ord(c) for c in word]
+        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+        heap: list[tuple] = []
+
+        def add(left: int, right: int) -> None:
+            if left >= 0 and right < len(symbols) and (found := self.pairs.get((symbols[left], symbols[right]))):
+                heappush(heap, (found[0], left, right, symbols[left], symbols[right], found[1]))
+
+        for i in range(len(word) - 1):
+            add(i, i + 1)
+        number, bits = 0, 0
+        while heap:
+            _, left, right, a, b, merged = heappop(heap)
+            if symbols[left] != a or after[left] != right or symbols[right] != b:
+                continue
+            if number % 64 == 0:
+                bits = int(drop_bits(np.array([key], np.uint64), rate, number // 64)[0])
+            number += 1
+            if bits >> (number - 1) % 64 & 1:
+                continue
+            symbols[left], symbols[right] = merged, None
+            after[left] = after[right]
+            if after[right] < len(symbols):
+                before[after[right]] = left
+            add(before[left], left)
+            add(left, after[left])
+        return self._finish(np.array([s for s in symbols if s is not None]))
+
     def decode(self, ids: list[int]) -> str:
         """The text whose pieces these are, without the blank put before it."""
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
+    def decode_all(self, pieces: pa.ListArray) -> list[str | None]:
+        """The texts of many lists of pieces; null where there is no list."""
+        at = pieces.offsets.to_pylist()
+        raw = list(map(self.raw.__getitem__, pieces.values.slice(at[0], at[-1] - at[0]).to_numpy().tolist()))
+        spans = zip(at, at[1:], pieces.is_valid().to_pylist())
+        return [b"".join(raw[s - at[0] : e - at[0]]).decode("utf-8", "replace")[1:] if ok else None for s, e, ok in spans]
+
 
 @lru_cache(maxsize=2)
 def piece_model(path: str) -> PieceModel:
@@ -146,39 +197,128 @@ def piece_model(path: str) -> PieceModel:
 
 
 class Encoder:
-    """Encodes texts, remembering the words of each stream."""
+    """Encodes texts, remembering the nodes of the words seen before."""
 
-    def __init__(self, path: str, seed: int, rate: float, streams: int):
+    def __init__(self, path: str, seed: int, rate: float):
         self.model, self.seed, self.rate = piece_model(path), seed, rate
-        self.streams = streams if rate > 0 else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
+        self.first: dict[str, int] = {}
+        self.child: dict[int, int] = {}
+        self.word: list[str] = []
+        self.ids: list[bytes] = []
+        # Candidates thrown away, the number of the next one, and how many there are if no other is thrown.
+        self.thrown, self.begin, self.total = (np.zeros(0, kind) for kind in (np.uint64, np.int64, np.int64))
+        self.parent, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keep the nodes that were met most, half as many as fit at most; a node goes with its parent."""
+        base = self.parent < 0
+        # A node is met as often as its children are.
+        for _ in range(4):
+            np.maximum.at(self.met, self.parent[~base], self.met[~base])
+        keep, often = self.met > 1, 2
+        while keep.sum() > MEMORY_NODES // 2:
+            keep, often = self.met > often, 2 * often
+        while (lost := keep & ~base & ~keep[self.parent]).any():
+            keep &= ~lost
+        number = np.where(keep, np.cumsum(keep) - 1, -1)
+        at = number.tolist()
+        self.first = {w: at[n] for w, n in self.first.items() if n >= 0 and at[n] >= 0}
+        self.child = {at[k >> 6] << 6 | k & 63: at[n] for k, n in self.child.items() if at[n] >= 0}
+        kept = np.flatnonzero(keep)
+        self.word, self.ids = ([held[n] for n in kept.tolist()] for held in (self.word, self.ids))
+        self.thrown, self.begin, self.total = self.thrown[kept], self.begin[kept], self.total[kept]
+        self.parent = np.where(self.parent[kept] < 0, -1, number[self.parent[kept]])
+        self.met = np.zeros(len(kept), np.int64)
+
+    def _add(self, words: list[str], thrown: np.ndarray, begin: np.ndarray, parent: np.ndarray) -> range:
+        ids, popped = [], []
+        for at in range(0, len(words), MERGE_WORDS):
+            part = self.model.segment(words[at : at + MERGE_WORDS], thrown[at : at + MERGE_WORDS])
+            ids += part[0]
+            popped.append(part[1])
+        new = range(len(self.ids), len(self.ids) + len(words))
+        self.word += words
+        self.ids += ids
+        self.thrown = np.append(self.thrown, thrown)
+        self.begin = np.append(self.begin, begin)
+        self.total = np.append(self.total, np.concatenate(popped))
+        self.parent = np.append(self.parent, parent)
+        self.met = np.append(self.met, np.zeros(len(words), np.int64))
+        return new
+
+    def _first_nodes(self, words: list[str]) -> np.ndarray:
+        """Nodes where nothing is thrown away; -1 for long words."""
+        unknown = set(words).difference(self.first)
+        new = [w for w in unknown if len(w) <= LONG_WORD]
+        if new:
+            none = np.zeros(len(new), np.int64)
+            self.first.update(zip(new, self._add(new, none.astype(np.uint64), none, none - 1)))
+        self.first.update((w, -1) for w in unknown if len(w) > LONG_WORD)
+        return np.fromiter(map(self.first.__getitem__, words), np.int64, len(words))
+
+    def _walk(self, node: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Where each occurrence ends up by its bits; -1 where candidates are beyond the bits."""
+        node, active = node.copy(), np.flatnonzero(node >= 0)
+        while len(active):
+            at = node[active]
+            beyond = self.total[at] > 64
+            node[active[beyond]] = -1
+            active, at = active[~beyond], at[~beyond]
+            begin, total = self.begin[at], self.total[at]
+            begun = bits[active] >> np.minimum(begin, 63).astype(np.uint64)
+            width = np.where(begin < 64, total - begin, 0)
+            within = np.where(width >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(width, 63).astype(np.uint64)) - np.uint64(1))
+            left = begun & within
+            go = left != 0
+            active, at, left, begin = active[go], at[go], left[go], begin[go]
+            if not len(active):
+                break
+            lowest = left & (~left + np.uint64(1))
+            number = begin + np.log2(lowest.astype(np.float64)).astype(np.int64)
+            step, which = np.unique((at << 6) | number, return_inverse=True)
+            new = [s for s in step.tolist() if s not in self.child]
+            if new:
+                parent, place = np.array(new) >> 6, np.array(new) & 63
+                thrown = self.thrown[parent] | (np.uint64(1) << place.astype(np.uint64))
+                self.child.update(zip(new, self._add([self.word[p] for p in parent.tolist()], thrown, place + 1, parent)))
+            node[active] = np.fromiter(map(self.child.__getitem__, step.tolist()), np.int64, len(step))[which]
+        return node
+
+    def _encode(self, texts: list[str], ids: list[int | None]) -> list[bytes]:
+        if len(self.ids) > MEMORY_NODES:
+            self.forget()
+        units = [UNITS(" " + t) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        words = [w for part in units for w in part]
+        stop = np.cumsum(sizes)
+        places = np.arange(len(words)) - np.repeat(stop - sizes, sizes)
+        documents = np.repeat(np.array([i or 0 for i in ids], np.int64), sizes)
+        keys = keyed(self.seed, documents, places)
+        node = self._first_nodes(words)
+        if self.rate > 0:
+            node = self._walk(node, drop_bits(keys, self.rate))
+        alone = {
+            i: self.model.segment_alone(words[i], int(keys[i]), self.rate) for i in np.flatnonzero(node < 0).tolist()
+        }
+        self.met += np.bincount(node[node >= 0], minlength=len(self.met))
+        held = self.ids
+        found = [held[n] if n >= 0 else alone[i] for i, n in enumerate(node.tolist())] if alone else list(map(held.__getitem__, node.tolist()))
+        return [b"".join(found[s:e]) for s, e in zip((stop - sizes).tolist(), stop.tolist())]
 
     def encode(self, texts: list[str], ids: list[int | None]) -> list[bytes]:
-        if sum(map(len, self.known)) > MEMORY_WORDS:
-            for known in self.known:
-                known.clear()
-        units = [UNITS(" " + t) if t else [] for t in texts]
-        first = [keyed(self.seed, i or 0) % self.streams if self.streams > 1 else 0 for i in ids]
-        wanted: list[set[str]] = [set() for _ in self.known]
-        for words, start in zip(units, first):
-            for s in range(self.streams):
-                wanted[(start + s) % self.streams].update(words[s :: self.streams])
-        for s, (known, words) in enumerate(zip(self.known, wanted)):
-            new = [w for w in words if w not in known]
-            known.update(zip(new, self.model.segment(new, keyed(self.seed, s), self.rate)))
-        out = []
-        for words, start in zip(units, first):
-            parts: list[bytes] = [b""] * len(words)
-            for s in range(self.streams):
-                parts[s :: self.streams] = map(self.known[(start + s) % self.streams].__getitem__, words[s :: self.streams])
-            out.append(b"".join(parts))
+        out, at, held = [], 0, 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= GROUP_CHARS or i + 1 == len(texts):
+                out += self._encode(texts[at : i + 1], ids[at : i + 1])
+                at, held = i + 1, 0
         return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, seed: int, rate: float, streams: int) -> Encoder:
+def encoder(path: str, seed: int, rate: float) -> Encoder:
     """Once in a Python worker, so that words stay known from task to task."""
-    return Encoder(path, seed, rate, streams)
+    return Encoder(path, seed, rate)
 
 
 def encode(
@@ -186,7 +326,6 @@ def encode(
     model: str,
     seed: int = 0,
     rate: float = RATE,
-    streams: int = STREAMS,
     id_col: str = "doc_id",
     text_col: str = "text",
     pieces_col: str = "pieces",
@@ -200,7 +339,7 @@ def encode(
     at_id, at_text = ([f.name for f in rest].index(c) for c in (id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = encoder(model, seed, rate, streams)
+        encoding = encoder(model, seed, rate)
         for batch in batches:
             texts = batch.column(at_text)
             coded = encoding.encode([t or "" for t in texts.to_pylist()], batch.column(at_id).to_pylist())
@@ -223,9 +362,9 @@ def decode(coded: DataFrame, model: str, pieces_col: str = "pieces", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoding = piece_model(model)
         for batch in batches:
-            texts = [None if ids is None else decoding.decode(ids) for ids in batch.column(at).to_pylist()]
+            texts = pa.array(decoding.decode_all(batch.column(at)), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col]
+                [*batch.columns, texts], names=[*batch.schema.names, text_col]
             )
 
     return coded.select(*(F.col(f"`{f.name}`") for f in rest)).mapInArrow(run, schema)

@@ -99,16 +99,16 @@ def merge(
         stay = np.ones(len(sym), bool)
         stay[hits + 1] = False
         size = size - np.bincount(seq[hits], minlength=len(size))
-        # Pairs change to the left of a merge and where it stands.
-        stale = np.zeros(len(sym), bool)
-        stale[hits] = True
         before = np.flatnonzero(stay)
         index = np.cumsum(stay) - 1
         sym, pos, seq, rank, slot = sym[before], pos[before], seq[before], rank[before], slot[before]
         at = index[hits]
         start = np.cumsum(size) - size
-        left = at[(at > 0)] - 1
-        redo = np.unique(np.concatenate([at, left]))
+        # Pairs change where a merge stands and to the left of it.
+        stale = np.zeros(len(sym), bool)
+        stale[at] = True
+        stale[at[at > 0] - 1] = True
+        redo = np.flatnonzero(stale)
         inner = redo[(redo + 1 < len(sym))]
         inner = inner[seq[inner] == seq[inner + 1]]
         rank[redo] = NO_PAIR
