@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from .ragged import PairTable, merge
 
 RATE = 0.1
 RATE_BITS = 16
-MEMORY_NODES = 500_000
-GROUP_CHARS = 1 << 21
+MEMORY_NODES = 200_000
+GROUP_CHARS = 1 << 20
 LONG_WORD = 64
 BLANK = "▁"
 FIRST_PIECE = 0x110000
@@ -72,10 +73,12 @@ class PieceModel:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.library = model
         ids = range(model.get_piece_size())
         plain = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         text = {i: model.id_to_piece(i) for i in plain}
         self.byte_ids = np.zeros(256, np.int64)
+        self.is_byte = np.array([model.is_byte(i) for i in ids])
         self.raw: list[bytes] = [b""] * len(ids)
         for i in ids:
             if model.is_byte(i):
@@ -110,6 +113,18 @@ class PieceModel:
                 out += self.byte_ids[list(chr(s).encode())].tolist()
         return np.array(out, "<i4").tobytes()
 
+    def segment_whole(self, words: list[str]) -> tuple[list[bytes | None], np.ndarray]:
+        """As `segment` where nothing is thrown away: the library's own ids, for words that begin with a
+        blank, as it adds one itself. Every candidate popped is then a merge. None for words with bytes."""
+        coded = self.library.encode([w[1:] for w in words], num_threads=1)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        flat = np.fromiter(chain.from_iterable(coded), "<i4", int(sizes.sum()))
+        stop = np.cumsum(sizes)
+        bytes_before = np.concatenate([[0], np.cumsum(self.is_byte[flat])])
+        raw, plain = flat.tobytes(), bytes_before[stop] == bytes_before[stop - sizes]
+        spans = zip((stop - sizes).tolist(), stop.tolist(), plain.tolist())
+        return [raw[4 * s : 4 * e] if ok else None for s, e, ok in spans], np.fromiter(map(len, words), np.int64, len(words)) - sizes
+
     def segment(self, words: list[str], thrown: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """Ids of each word where the candidates of the set bits of `thrown` are thrown away, and how many
         candidates were popped."""
@@ -236,12 +251,17 @@ class Encoder:
             part = self.model.segment(words[at : at + MERGE_WORDS], thrown[at : at + MERGE_WORDS])
             ids += part[0]
             popped.append(part[1])
+        return self._hold(words, ids, thrown, begin, np.concatenate(popped), parent)
+
+    def _hold(
+        self, words: list[str], ids: list[bytes], thrown: np.ndarray, begin: np.ndarray, total: np.ndarray, parent: np.ndarray
+    ) -> range:
         new = range(len(self.ids), len(self.ids) + len(words))
         self.word += words
         self.ids += ids
         self.thrown = np.append(self.thrown, thrown)
         self.begin = np.append(self.begin, begin)
-        self.total = np.append(self.total, np.concatenate(popped))
+        self.total = np.append(self.total, total)
         self.parent = np.append(self.parent, parent)
         self.met = np.append(self.met, np.zeros(len(words), np.int64))
         return new
@@ -249,6 +269,14 @@ class Encoder:
     def _first_nodes(self, words: list[str]) -> np.ndarray:
         """Nodes where nothing is thrown away; -1 for long words."""
         unknown = set(words).difference(self.first)
+        whole = [w for w in unknown if len(w) <= LONG_WORD and w[0] == " " and w[-1] != " "]
+        if whole:
+            coded, total = self.model.segment_whole(whole)
+            plain = np.flatnonzero([c is not None for c in coded])
+            held, none = [whole[i] for i in plain.tolist()], np.zeros(len(plain), np.int64)
+            ids = [c for c in coded if c is not None]
+            self.first.update(zip(held, self._hold(held, ids, none.astype(np.uint64), none, total[plain], none - 1)))
+            unknown.difference_update(held)
         new = [w for w in unknown if len(w) <= LONG_WORD]
         if new:
             none = np.zeros(len(new), np.int64)
