@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -42,6 +41,7 @@ SPAN = 7
 DECAY = 0.6
 MAX_UNIT = 24
 ROUNDS = 4
+STRONG = 0.25
 EXPLAINED = 3
 CLASSES = 64
 MEMORY_WORDS = 500_000
@@ -205,26 +205,31 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0
 
 
 def document_weights(bags: list[set[str]]) -> np.ndarray:
-    """Documents that are copies of each other share a smallest word hash, and one weight."""
-    keys = [min((zlib.crc32(w.encode()) for w in bag), default=0) for bag in bags]
+    """Documents with the same words are copies of each other, and share one weight."""
+    keys = [tuple(sorted(bag)) for bag in bags]
     sizes = Counter(keys)
     return np.array([1 / sizes[k] for k in keys])
 
 
 def witnesses(toxic: list[set[str]], clean: Counter) -> list[str]:
-    """Words that together explain the toxic documents: again and again the word that stands in
-    most documents (by weight) not yet explained EXPLAINED times, less those it wrongly accuses."""
+    """Words that accuse toxic documents. Strong ones, with STRONG of the best word's evidence (documents
+    by weight, less twice the clean ones), count each by itself, so an insult that always comes with
+    others is found. Of weaker ones only those are taken that explain documents not yet explained
+    EXPLAINED times, best first."""
     weight = document_weights(toxic)
-    least = max(2.0, 0.002 * weight.sum())
+    least = max(min(2.0, weight.sum() / 2), 0.002 * weight.sum())
     holders = defaultdict(list)
     for i, words in enumerate(toxic):
         for w in words:
             holders[w].append(i)
     gain = {w: weight[h].sum() - 2 * clean[w] for w, h in holders.items()}
     gain = {w: g for w, g in gain.items() if g >= least}
-    heap = [(-g, w) for w, g in gain.items()]
+    strong = STRONG * max(gain.values(), default=0.0)
+    times, chosen = np.zeros(len(toxic), int), sorted((w for w in gain if gain[w] >= strong), key=lambda w: (-gain[w], w))
+    for word in chosen:
+        times[holders[word]] += 1
+    heap = [(-g, w) for w, g in gain.items() if g < strong]
     heapq.heapify(heap)
-    times, chosen = np.zeros(len(toxic), int), []
     while heap:
         promised, word = heapq.heappop(heap)
         held = np.array(holders[word])
