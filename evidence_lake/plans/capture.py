@@ -509,7 +509,7 @@ def stripped_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 USER_PATTERNS = (
     r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}",
     r"\b[0-9a-f]{40}\b",
-    r"(?i)(?P<start>é)aux\w+[[.,]",
+    r"(?i)(?P<start>é)aux\w+[\[.,]",
 )
 PATTERNS = effective_patterns(USER_PATTERNS)
 # The last rule as the SQL engine has to be told it.
