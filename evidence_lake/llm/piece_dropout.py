@@ -38,8 +38,10 @@ from .ragged import PairTable, merge
 
 RATE = 0.1
 RATE_BITS = 16
-MEMORY_NODES = 150_000
-GROUP_CHARS = 1 << 20
+MEMORY_NODES = 100_000
+GROUP_CHARS = 1 << 19
+# Ids take more room than their texts, and a worker keeps what it once took.
+PIECE_BATCH_BYTES = str(4 << 20)
 LONG_WORD = 64
 BLANK = "▁"
 FIRST_PIECE = 0x110000
@@ -363,7 +365,7 @@ def encode(
     """docs with the ids of each text's pieces in `pieces_col`, which replaces a column of that name."""
     if not 0 <= rate <= 1:
         raise ValueError(f"rate lies from 0 to 1, not {rate}")
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, PIECE_BATCH_BYTES)
     rest = [f for f in docs.schema.fields if f.name != pieces_col]
     schema = StructType([*rest, StructField(pieces_col, ArrayType(IntegerType()))])
     at_id, at_text = ([f.name for f in rest].index(c) for c in (id_col, text_col))
@@ -384,7 +386,7 @@ def encode(
 
 def decode(coded: DataFrame, model: str, pieces_col: str = "pieces", text_col: str = "text") -> DataFrame:
     """coded with the text its pieces stand for in `text_col`, which replaces a column of that name."""
-    small_batches(coded.sparkSession)
+    small_batches(coded.sparkSession, PIECE_BATCH_BYTES)
     rest = [f for f in coded.schema.fields if f.name != text_col]
     schema = StructType([*rest, StructField(text_col, StringType())])
     at = [f.name for f in rest].index(pieces_col)
