@@ -46,9 +46,9 @@ MEMORY_WINDOWS = 300_000
 MEMORY_TOKENS = 5_000_000
 MANY_LINKS = 4096
 # No id: stands between the two sides of a window's key.
-BETWEEN = np.array([-1], "<i4").tobytes()
-# The words of byte-level BPE files (fixed value of that format).
-BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BETWEEN = -1
+# The words of byte-level BPE files (fixed value of that format), with runs that are never taken back.
+BYTE_LEVEL_WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 CHUNK_ARROW = pa.schema(
     [
@@ -105,8 +105,11 @@ class Aligner:
 
         raw = byte_level_tokens(path_a)
         self.a = Side(raw)
+        ranks = {r: i for i, r in enumerate(raw)}
+        # With no special string at all the library would look for an empty one at every byte. One is
+        # named, and stays plain text, as it is never allowed.
         self.tok_a = tiktoken.Encoding(
-            path_a, pat_str=BYTE_LEVEL_WORDS, mergeable_ranks={r: i for i, r in enumerate(raw)}, special_tokens={}
+            path_a, pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(raw)}
         )
         self.tok_b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.b = Side([self._piece(i) for i in range(self.tok_b.get_piece_size())])
@@ -124,9 +127,9 @@ class Aligner:
         most = np.sort(np.argsort(-self.met[: len(keys)], kind="stable")[:kept]).tolist()
         self.number: dict[bytes, int] = {keys[k]: i for i, k in enumerate(most)}
         for name in ("text", "pairs", "times"):
-            setattr(self, name, [getattr(self, name)[k] for k in most])
+            setattr(self, name, list(map(getattr(self, name).__getitem__, most)))
         for name in ("n_groups", "n_links"):
-            setattr(self, name, array("q", [getattr(self, name)[k] for k in most]))
+            setattr(self, name, array("q", map(getattr(self, name).__getitem__, most) if most else ()))
         self.met = np.zeros(len(most), np.int64)
         self.held = sum(map(len, self.pairs)) // 8
 
@@ -178,7 +181,7 @@ class Aligner:
         if self.held > MEMORY_TOKENS:
             self.forget()
         # Merging bytes loses none, so side A always spells its text.
-        coded_a = [self.tok_a.encode_to_numpy(" " + t) for t in texts]
+        coded_a = [self.tok_a.encode_to_numpy(" " + t, disallowed_special=()) for t in texts]
         coded_b = self.tok_b.encode(texts, num_threads=1)
         raw_b = self.b.raw.__getitem__
         for i, text in enumerate(texts):
@@ -197,14 +200,15 @@ class Aligner:
         cut_a = np.append(np.searchsorted(start_a, anchors), len(flat_a))
         cut_b = np.append(np.searchsorted(start_b, anchors), len(flat_b))
         some, which = distinct_windows((flat_a, cut_a), (flat_b, cut_b))
-        keys = [x + BETWEEN + y for x, y in zip(slices(flat_a, cut_a, some), slices(flat_b, cut_b, some))]
+        keys = window_keys((flat_a, cut_a), (flat_b, cut_b), some)
         if new := {key: i for i, key in enumerate(keys) if key not in self.number}:
             at = some[np.fromiter(new.values(), np.int64, len(new))]
+            size_a, size_b = (cut[at + 1] - cut[at] for cut in (cut_a, cut_b))
             part_a, part_b = (
-                np.frombuffer(b"".join(slices(flat, cut, at)), "<i4").astype(np.int64)
-                for flat, cut in ((flat_a, cut_a), (flat_b, cut_b))
+                flat[places(cut[at], size)].astype(np.int64)
+                for flat, cut, size in ((flat_a, cut_a, size_a), (flat_b, cut_b, size_b))
             )
-            self._learn(list(new), part_a, part_b, cut_a[at + 1] - cut_a[at])
+            self._learn(list(new), part_a, part_b, size_a)
             self.met = np.append(self.met, np.zeros(len(new), np.int64))
         found = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
         np.add.at(self.met, found, 1)
@@ -242,7 +246,7 @@ class Aligner:
         index = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(begin[kind], reps)
         names, name = np.unique(pairs, return_inverse=True)
         order_key = np.repeat(owner, reps) * len(names) + name[index]
-        order = np.argsort(order_key, kind="stable")
+        order = np.argsort(order_key)
         order_key, links = order_key[order], (times[index] * np.repeat(often, reps))[order]
         first = np.flatnonzero(np.diff(order_key, prepend=-1))
         distinct = order_key[first]
@@ -256,9 +260,24 @@ def listed(side: Side, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
     return [names[s] if e - s == 1 else ",".join(names[s:e]) for s, e in zip((stop - sizes).tolist(), stop.tolist())]
 
 
-def slices(ids: np.ndarray, cuts: np.ndarray, some: np.ndarray) -> list[bytes]:
+def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all stretches, one stretch after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def window_keys(
+    side_a: tuple[np.ndarray, np.ndarray], side_b: tuple[np.ndarray, np.ndarray], some: np.ndarray
+) -> list[bytes]:
+    """The ids of each window, side A, BETWEEN, side B."""
+    (flat_a, cut_a), (flat_b, cut_b) = side_a, side_b
+    size_a, size_b = cut_a[some + 1] - cut_a[some], cut_b[some + 1] - cut_b[some]
+    stop = np.cumsum(size_a + 1 + size_b)
+    start = stop - (size_a + 1 + size_b)
+    ids = np.full(stop[-1] if len(stop) else 0, BETWEEN, "<i4")
+    ids[places(start, size_a)] = flat_a[places(cut_a[some], size_a)]
+    ids[places(start + size_a + 1, size_b)] = flat_b[places(cut_b[some], size_b)]
     raw = ids.tobytes()
-    return [raw[s:e] for s, e in zip((4 * cuts[some]).tolist(), (4 * cuts[some + 1]).tolist())]
+    return [raw[s:e] for s, e in zip((4 * start).tolist(), (4 * stop).tolist())]
 
 
 def distinct_windows(*sides: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -273,7 +292,9 @@ def distinct_windows(*sides: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray,
         place = np.arange(len(ids)) - np.repeat(cuts[:-1], size)
         mixed = mix64((ids.astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + np.uint64(1))
         key = mix64(key + np.add.reduceat(mixed, cuts[:-1]))
-    _, some, which = np.unique(key, return_index=True, return_inverse=True)
+    kinds, which = np.unique(key, return_inverse=True)
+    some = np.zeros(len(kinds), np.int64)
+    some[which] = np.arange(n)
     for ids, cuts in sides:
         size, stands = np.diff(cuts), some[which]
         if (size != size[stands]).any():
