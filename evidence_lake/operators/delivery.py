@@ -49,13 +49,14 @@ def park_reason(outcome: Column, status: Column) -> Column:
     )
 
 
-def delivery_outcomes(attempts: DataFrame, *carry: str) -> DataFrame:
+def delivery_outcomes(attempts: DataFrame, *carry: str, replayed: bool = False) -> DataFrame:
     """Per batch: attempts, retries, last status and what became of it.
 
-    Name in `carry` columns that are the same for all attempts of a batch.
+    Name in `carry` columns that are the same for all attempts of a batch. A replayed batch that is
+    refused again has no new reason: it stays parked.
     """
     judged = attempts.withColumn(
-        "outcome", classify_response(F.col("status"), F.col("attempt"))
+        "outcome", classify_response(F.col("status"), F.col("attempt"), F.lit(replayed))
     )
     final = judged.groupBy("batch_id", *carry).agg(
         F.count("*").alias("attempts"),

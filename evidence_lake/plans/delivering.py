@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ticks import floor_div, tick_index
 from ..operators import delivery
+from ..operators.letters import UNUSABLE, Mailbox, commit_letters, letters_of, states_before, waiting_before
 from ..operators.packing import (
     batch_summary,
     envelopes,
@@ -16,6 +17,7 @@ from ..operators.packing import (
     with_batch_id,
 )
 from ..session import shared_dir
+from ..sources.ledger import COMPACT_EVERY
 from .catalog import query
 from .inputs import CAPTURE, SIZED_SQL, sized_events
 
@@ -314,6 +316,50 @@ def dead_letter_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "letter_states",
+    f"""
+WITH {ATTEMPTS_SQL},
+letters AS (
+  SELECT b.batch_id, o.reason, b.events, b.slot_events,
+         CAST(1706745600000000000 + b.slot_events * 5400000000000 AS BIGINT) AS parked_ns
+  FROM batches b JOIN outcomes o USING (batch_id) WHERE o.reason IS NOT NULL
+)
+SELECT parked_ns, batch_id, reason, CASE WHEN reason <> 'http_404' THEN events END AS events,
+       CASE WHEN reason = 'http_404' THEN 'unusable' ELSE 'waiting' END AS state
+FROM letters WHERE reason <> 'retries_exhausted' OR slot_events % 4 = 3
+""",
+)
+def letter_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters that stand after four rounds of parking and replaying with a snapshot among them.
+
+    Each round first replays what had run out of attempts, then parks every fourth slot. Bodies of 404
+    answers lost their event list. Events are counted in the bodies that a replay would read.
+    """
+    root = shared_dir(spark, "letters")
+    box = Mailbox(f"{root}/letters", f"{root}/archive", f"{root}/states")
+    sealed = sealed_batches(spark, sf_dir)
+    stuck = sealed.join(_outcomes(sealed).where("reason IS NOT NULL"), "batch_id")
+    whole = F.col("reason") != "http_404"
+    stuck.withColumn("events", F.when(whole, F.col("events"))).write.parquet(f"{root}/stuck")
+    stuck = spark.read.parquet(f"{root}/stuck")
+    first = COMPACT_EVERY - 2
+    for number in range(first, first + 4):
+        exhausted = waiting_before(spark, box, number).where(F.col("reason") == "retries_exhausted")
+        delivery.archive_replayed(exhausted.select("batch_id"), box.replayed(number), NOW_NS)
+        parked_ns = F.lit(NOW_NS) + F.col("slot_events") * 5_400_000_000_000
+        due = stuck.where(F.col("slot_events") % 4 == number - first)
+        delivery.park(spark, due, F.col("reason"), box.parked(number), parked_ns)
+        commit_letters(spark, box, number, NOW_NS)
+    waits = waiting_before(spark, box, first + 4)
+    bodies = delivery.with_event_count(letters_of(spark, box, first + 4, waits))
+    unusable = states_before(spark, box, first + 4).where(F.col("state") == UNUSABLE)
+    columns = ["parked_ns", "batch_id", "reason", "events"]
+    return bodies.select(*columns, F.lit("waiting").alias("state")).unionByName(
+        unusable.select(*columns, "state")
+    )
+
+
 @query(
     "replay_flow",
     f"""
