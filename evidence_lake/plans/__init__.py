@@ -1,6 +1,6 @@
 """Query catalogue. Importing the modules below registers their queries."""
 
-from . import auditing, capture, delivering, reporting, streams  # noqa: F401
+from . import auditing, capture, delivering, fleet, reporting, streams  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 

@@ -61,10 +61,12 @@ def to_canonical(
     """The canonical event of each line: fixed envelope, place in the file, hash, payload.
 
     Expects file_path, line_number, byte_offset, byte_end, byte_length and value (the raw
-    line). Each part is named before the next uses it, so nothing is computed twice.
+    line). Each part is named before the next uses it, so nothing is computed twice. Lines that name
+    their host in a column `hostname` are of that host.
     """
     none = F.lit(None).cast("string")
-    host = F.lit(capture.hostname) if hostname is None else hostname
+    own = F.col("hostname") if "hostname" in lines.columns else F.lit(capture.hostname)
+    host = own if hostname is None else hostname
     captured = F.lit(capture.captured_at_ns).cast("bigint")
     extra = extra or {}
     generation = F.col("generation") if "generation" in lines.columns else None
