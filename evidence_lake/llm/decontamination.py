@@ -34,6 +34,7 @@ MIN_TILE = 5
 MIN_COVERAGE = 0.5
 MAX_SEEDS = 2_000_000
 MEMORY_WORDS = 400_000
+SEED_BITS = 22
 # In UTF-8, ASCII that is no letter or digit becomes a space, and A-Z small.
 PLAIN = bytes(i if i > 127 else ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(256))
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -82,6 +83,27 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix64(total)
 
 
+class Seeds:
+    """A sorted set of window hashes. A window is looked for only where its last bits are those of a seed,
+    so the cost of a text does not depend on how many seeds there are."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = np.unique(known)
+        self.maybe = np.zeros(1 << SEED_BITS, bool)
+        self.maybe[self._last(self.known)] = True
+
+    def _last(self, found: np.ndarray) -> np.ndarray:
+        return (found & np.uint64((1 << SEED_BITS) - 1)).astype(np.int64)
+
+    def held(self, found: np.ndarray) -> np.ndarray:
+        """Those of `found` that are seeds, in their order."""
+        found = found[self.maybe[self._last(found)]]
+        if not len(found):
+            return found
+        at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+        return found[self.known[at] == found]
+
+
 def tile(item: np.ndarray, text: np.ndarray, min_tile: int = MIN_TILE) -> list[tuple[int, int, int]]:
     """Tiles (place in item, place in text, words), longest first."""
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
@@ -172,22 +194,18 @@ def contaminated(
     known = None
     if seeds.select("seed").distinct().count() <= max_seeds:
         found = seeds.select("seed").distinct().toPandas()["seed"].to_numpy(np.int64)
-        known = np.sort(found.view(np.uint64))
+        known = found.view(np.uint64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        mask = np.uint64((1 << 22) - 1)
-        if known is not None:
-            maybe = np.zeros(1 << 22, bool)
-            maybe[(known & mask).astype(np.int64)] = True
+        known_seeds = None if known is None else Seeds(known)
         for batch in batches:
             hits = []
             for hashes in hasher.hashes(column_texts(batch.column(2))):
                 own = windows(hashes, MIN_TILE)
-                if known is not None:
-                    own = own[maybe[(own & mask).astype(np.int64)]]
-                    own = own[np.isin(own, known)]
-                hits.append(np.unique(own).view(np.int64).tolist())
+                if known_seeds is not None:
+                    own = known_seeds.held(own)
+                hits.append(np.unique(own).view(np.int64).tolist() if len(own) else [])
             held = pa.array([len(h) > 0 for h in hits], pa.bool_())
             texts = batch.column(2) if known is not None else pa.nulls(len(hits), pa.string())
             out = pa.RecordBatch.from_arrays(

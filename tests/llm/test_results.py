@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -175,6 +176,20 @@ def test_decontamination_equals_brute_force(spark):
     assert (1, "0") in {(r.doc_id, r.item_id) for r in decontamination.contaminated(one, items).collect()}
 
 
+def test_seeds_are_found_at_a_cost_of_the_text():
+    """Looking a text up in 300,000 seeds must not cost a pass over the seeds."""
+    rng = np.random.default_rng(11)
+    known = rng.integers(0, 1 << 63, 300_000, dtype=np.uint64)
+    seeds = decontamination.Seeds(np.concatenate([known, known[:9]]))
+    own = np.concatenate([known[:5], rng.integers(0, 1 << 63, 200, dtype=np.uint64), known[3:4]])
+    assert seeds.held(own).tolist() == own[np.isin(own, known)].tolist()
+    assert len(decontamination.Seeds(known[:0]).held(own)) == len(seeds.held(own[:0])) == 0
+    began = time.process_time()
+    for _ in range(2000):
+        seeds.held(own)
+    assert time.process_time() - began < 4
+
+
 def test_token_counts_and_files_equal_the_library(spark):
     docs = texts(spark)
     docs |= {10_000 + i: t for i, t in enumerate([*odd_texts(300, 1), "a<|endoftext|>b", "x" * 3000, "I'LL don't"])}
