@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -44,12 +45,24 @@ CHUNK_SCHEMA = (
 DOC_SCHEMA = "shard INT, in_shard BIGINT, doc_id BIGINT, n_tokens BIGINT, ids_crc32 BIGINT, ids BINARY"
 
 
+# The pattern of pre-tokens that `WordIds.pre_tokens` takes apart for whole arrays.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+GROUP_CHARS = 1 << 22
+SPACE, LETTER, DIGIT, OTHER, UNSEEN = range(5)
+KINDS = [
+    (kind, regex.compile(sign).fullmatch)
+    for kind, sign in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (DIGIT, r"\p{N}"), (OTHER, r"[^\s\p{L}\p{N}]"))
+]
+
+
 class WordIds(dict):
     """Little-endian ids of words, made by the tokenizers library; forgotten once too many.
 
     The library gets many different pre-tokens in one text, as a call costs more than a word does.
-    Its ids are told apart by the tokens that end a pre-token. Words whose pre-tokens are not
-    plain (special strings, text that is not composed) go to the library one by one.
+    Its ids are told apart by the tokens that end a pre-token. Texts are taken apart many at once, and
+    only pre-tokens are remembered. Texts that are not plain (special strings, text that is not composed)
+    are split into words; words that are not plain go to the library one by one.
     """
 
     def __init__(self, path: str):
@@ -60,6 +73,8 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces: dict[str, bytes] = {}
         self.split = vocabulary_pattern(path)
+        self.plain_pattern = self.split.__self__.pattern == PATTERN
+        self.kind = np.full(0x110000, UNSEEN, np.uint8)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
@@ -107,8 +122,88 @@ class WordIds(dict):
         for word, pieces in parts.items():
             self[word] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
 
-    def encode(self, words: list[str]) -> bytes:
-        return b"".join(map(self.__getitem__, words))
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text. Plain texts are split and laid out many at once, the others word by word."""
+        at, held = 0, 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= GROUP_CHARS or i + 1 == len(texts):
+                yield from self._encode(texts[at : i + 1])
+                at, held = i + 1, 0
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        small = [lowered(t) if self.plain_pattern else None for t in texts]
+        coded = iter(self._encode_plain([t for t in small if t is not None]))
+        split = [words_of(t) for t, s in zip(texts, small) if s is None]
+        self.learn(set().union(*split))
+        odd = (b"".join(map(self.__getitem__, words)) for words in split)
+        return [next(odd if s is None else coded) for s in small]
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        if len(self.pieces) > 2 * MEMORY_WORDS:
+            self.pieces.clear()
+        pieces, counts = self.pre_tokens(texts)
+        coded = pieces.dictionary_encode()
+        distinct, places = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        known = self.pieces
+        self._learn_pieces([p for p in distinct if p not in known])
+        raw = [known[p] for p in distinct]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
+        flat, starts = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[places]
+        stop = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.arange(stop[-1]) + np.repeat(starts[places] - stop[:-1], n)].tobytes()
+        ends = (4 * stop[np.cumsum(counts)]).tolist()
+        return [ids[s:e] for s, e in zip([0, *ends], ends)]
+
+    def _kinds(self, points: np.ndarray) -> np.ndarray:
+        found = self.kind[points]
+        for point in np.unique(points[found == UNSEEN]).tolist():
+            self.kind[point] = next(k for k, is_kind in KINDS if is_kind(chr(point)))
+            found[points == point] = self.kind[point]
+        return found
+
+    def pre_tokens(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The pre-tokens of lower-cased texts one after the other, and how many each text has: runs of
+        letters, single digits, runs of other signs, and the endings that stand behind an apostrophe."""
+        points = np.frombuffer("\n".join([*texts, "\n\n"]).encode("utf-32-le"), "<u4")
+        kind = self._kinds(points)
+        begins = kind == DIGIT
+        begins[0] |= kind[0] != SPACE
+        begins[1:] |= kind[1:] != kind[:-1]
+        begins &= kind != SPACE
+        quote = np.flatnonzero(begins[:-3] & (points[:-3] == ord("'")))
+        first, second = points[quote + 1], points[quote + 2]
+        for ending in ENDINGS:
+            fits = first == ord(ending[0])
+            if len(ending) > 1:
+                fits &= second == ord(ending[1])
+            own = quote[fits]
+            begins[own + 1] = False
+            behind = own + 1 + len(ending)
+            begins[behind] = kind[behind] != SPACE
+        keep = kind != SPACE
+        begun = begins[keep]
+        kept = points[keep]
+        width = np.ones(len(kept), np.int64)
+        for limit in (0x80, 0x800, 0x10000):
+            width += kept >= limit
+        offsets = np.append((np.cumsum(width) - width)[begun], width.sum())
+        data = kept.tobytes().decode("utf-32-le").encode()
+        pieces = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        before = np.concatenate([[0], np.cumsum(begins)])[ends]
+        return pieces, np.diff(before, prepend=0)
+
+
+def lowered(text: str) -> str | None:
+    """A text in small letters, all at once. None where case depends on what stands beside a letter, and
+    where the text is not composed or may hold special strings."""
+    if "<|" in text:
+        return None
+    if text.isascii() or not ("\u0130" in text or "\u03a3" in text) and unicodedata.is_normalized("NFC", text):
+        return text.lower()
+    return None
 
 
 @lru_cache(maxsize=2)
@@ -124,9 +219,10 @@ def to_planes(ids: np.ndarray, planes: str = "bit") -> list[bytes]:
         rows = np.ascontiguousarray(raw.T)
         rows = rows[: 1 + max((i for i in range(4) if rows[i].any()), default=0)]
     else:
-        bits = np.unpackbits(raw, axis=1, bitorder="little").T
-        top = int(ids.max()).bit_length() if len(ids) else 0
-        rows = np.packbits(bits[: max(1, top)], axis=1, bitorder="little")
+        top = max(1, int(ids.max()).bit_length() if len(ids) else 0)
+        # Bytes that are zero in every id have no planes.
+        bits = np.unpackbits(raw[:, : -(-top // 8)], axis=1, bitorder="little").T
+        rows = np.packbits(bits[:top], axis=1, bitorder="little")
     pack = zstandard.ZstdCompressor(level=3).compress
     return [pack(row.tobytes()) for row in rows]
 
@@ -139,10 +235,13 @@ def from_planes(parts: list[bytes], count: int, planes: str = "bit") -> np.ndarr
         for i, row in enumerate(rows):
             raw[:, i] = row[:count]
         return raw.view("<u4").ravel()
-    bits = np.zeros((ID_BITS, count), np.uint8)
-    for i, row in enumerate(rows):
-        bits[i] = np.unpackbits(row, count=count, bitorder="little")
-    raw = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little"))
+    # Eight planes are one byte of the ids.
+    raw = np.zeros((count, ID_BITS // 8), np.uint8)
+    for at in range(0, len(rows), 8):
+        held = np.zeros(count, np.uint8)
+        for i, row in enumerate(rows[at : at + 8]):
+            held |= np.unpackbits(row, count=count, bitorder="little") << np.uint8(i)
+        raw[:, at // 8] = held
     return raw.view("<u4").ravel()
 
 
@@ -205,11 +304,9 @@ def write_ids(
             return pa.RecordBatch.from_pylist([row], schema=CHUNK_ARROW)
 
         for batch in batches:
-            split = [words_of(t) for t in column_texts(batch.column(1))]
-            known.learn(set().union(*split))
-            for doc_id, words in zip(batch.column(0).to_pylist(), split):
+            for doc_id, coded in zip(batch.column(0).to_pylist(), known.encode(column_texts(batch.column(1)))):
                 ids.append(doc_id)
-                parts.append(known.encode(words) + end)
+                parts.append(coded + end)
                 held += len(parts[-1]) // 4
                 if held >= chunk_ids:
                     yield closed()

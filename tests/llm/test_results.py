@@ -19,7 +19,7 @@ from evidence_lake.llm import decontamination, exact_dedup, near_dedup, queries,
 from evidence_lake.llm.components import components
 from evidence_lake.llm.piece_dropout import UNITS, Encoder, PieceModel, drop_bits, keyed
 from evidence_lake.llm.ragged import PairTable, merge
-from evidence_lake.llm.token_files import from_planes, pack_chunk, to_planes, unpack_chunk
+from evidence_lake.llm.token_files import WordIds, from_planes, lowered, pack_chunk, to_planes, unpack_chunk
 
 SF = "/root/testdata/sf0.001"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -210,6 +210,22 @@ def test_token_counts_and_files_equal_the_library(spark):
         assert len(rows) == len(docs)
 
 
+def test_plain_texts_are_taken_apart_at_once():
+    known = WordIds(WORD_BPE)
+    plain = ["", "it's We'LL o'd ''s !'s 's's 'same '\u017f x'", "\u00e9t\u00e9 12\u00bd \x1c\u00a0'\u6f22'", "'", "ends'r", "'ve\n\n"]
+    odd = ["a<|endoftext|> b", "\u0130x \u03a3\u03a3", "e\u0301 tail", *odd_texts(200, 5)]
+    texts = [t for pair in zip(plain * 40, odd) for t in pair] + plain
+    pieces, counts = known.pre_tokens([lowered(t) for t in plain])
+    assert pieces.to_pylist() == [p for t in plain for p in known.split(t.lower())]
+    assert counts.tolist() == [len(known.split(t.lower())) for t in plain]
+    library = Tokenizer.from_file(WORD_BPE)
+    expected = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(known.encode(texts)) == expected
+    # Nothing is remembered for words of plain texts.
+    alone = WordIds(WORD_BPE)
+    assert list(alone.encode(plain)) == [expected[texts.index(t)] for t in plain] and not len(alone)
+
+
 def test_planes_round_trip():
     rng = np.random.default_rng(4)
     for ids in (np.zeros(5), rng.integers(0, 50_000, 1000), rng.integers(0, 1 << 32, 77), np.array([0xFFFFFFFF])):
