@@ -43,12 +43,37 @@ GROUP_CHARS = 1 << 19
 # Ids take more room than their texts, and a worker keeps what it once took.
 PIECE_BATCH_BYTES = str(4 << 20)
 LONG_WORD = 64
+DECODE_PIECES = 1 << 18
 BLANK = "▁"
 FIRST_PIECE = 0x110000
 UNITS = re.compile(f" *[^ \n{BLANK}]+| +|\n|{BLANK}").findall
 MERGE_WORDS = 100_000
 
 
+def units_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """What UNITS finds in the texts, one after the other, each text behind a blank of its own; and how many
+    units each text has. An empty text has none."""
+    texts = [" " + t if t else "" for t in texts]
+    whole = "".join(texts)
+    points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+    stop = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    blank, sign = points == ord(" "), (points == ord("\n")) | (points == ord(BLANK))
+    # A blank begins a unit unless it stands behind another, any other character only behind a sign.
+    begins = sign | blank
+    begins[1:] &= sign[1:] | ~blank[:-1]
+    begins[1:] |= sign[:-1]
+    # Every text that is not empty begins with a blank, and blanks that end the text before are no part of it.
+    starts = np.concatenate([[0], stop[:-1]])[np.fromiter(map(len, texts), np.int64, len(texts)) > 0]
+    begins[starts] = True
+    width = np.ones(len(points), np.int64)
+    for limit in (0x80, 0x800, 0x10000):
+        width += points >= limit
+    offsets = np.append((np.cumsum(width) - width)[begins], width.sum())
+    units = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(whole.encode()))
+    before = np.concatenate([[0], np.cumsum(begins)])[stop]
+    return units, np.diff(before, prepend=0)
+
+
 def keyed(seed: int, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
     """One hash for each (document, place)."""
     start = mix64(np.array([seed & 0xFFFFFFFFFFFFFFFF], np.uint64) + np.uint64(1))
@@ -88,6 +113,9 @@ class PieceModel:
                 self.byte_ids[value], self.raw[i] = i, bytes([value])
             elif i in text:
                 self.raw[i] = text[i].replace(BLANK, " ").encode()
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_size = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         self.id_of_point = {ord(t): i for i, t in text.items() if len(t) == 1}
         symbol = {t: ord(t) if len(t) == 1 else FIRST_PIECE + i for i, t in text.items()}
         ranks = {s: r for r, s in enumerate(sorted({model.get_score(i) for i in plain}, reverse=True))}
@@ -201,11 +229,19 @@ class PieceModel:
 
     def decode_all(self, pieces: pa.ListArray) -> list[str | None]:
         """The texts of many lists of pieces; null where there is no list."""
-        at, flat, of = pieces.offsets.to_pylist(), pieces.values.to_numpy(), self.raw.__getitem__
-        # Text by text: as Python numbers the pieces of a batch would take ten times their size.
+        at = pieces.offsets.to_numpy().astype(np.int64)
+        flat = pieces.values.to_numpy()[at[0] : at[-1]]
+        raw, stop = [], np.concatenate([[0], np.cumsum(self.raw_size[flat])])
+        # A bounded number of pieces at once: the places of their bytes take eight times their size.
+        for low in range(0, len(flat), DECODE_PIECES):
+            part = flat[low : low + DECODE_PIECES]
+            sizes, begin = self.raw_size[part], stop[low : low + len(part)] - stop[low]
+            where = np.arange(stop[low + len(part)] - stop[low]) + np.repeat(self.raw_start[part] - begin, sizes)
+            raw.append(self.raw_bytes[where].tobytes())
+        whole, ends = b"".join(raw), stop[at - at[0]].tolist()
         return [
-            b"".join(map(of, flat[s:e].tolist())).decode("utf-8", "replace")[1:] if ok else None
-            for s, e, ok in zip(at, at[1:], pieces.is_valid().to_pylist())
+            whole[s:e].decode("utf-8", "replace")[1:] if ok else None
+            for s, e, ok in zip(ends, ends[1:], pieces.is_valid().to_pylist())
         ]
 
 
@@ -319,18 +355,18 @@ class Encoder:
     def _encode(self, texts: list[str], ids: list[int | None]) -> list[bytes]:
         if len(self.ids) > MEMORY_NODES:
             self.forget()
-        units = [UNITS(" " + t) if t else [] for t in texts]
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        words = [w for part in units for w in part]
+        units, sizes = units_of(texts)
+        coded = units.dictionary_encode()
+        words, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         stop = np.cumsum(sizes)
-        places = np.arange(len(words)) - np.repeat(stop - sizes, sizes)
+        places = np.arange(len(which)) - np.repeat(stop - sizes, sizes)
         documents = np.repeat(np.array([i or 0 for i in ids], np.int64), sizes)
         keys = keyed(self.seed, documents, places)
-        node = self._first_nodes(words)
+        node = self._first_nodes(words)[which]
         if self.rate > 0:
             node = self._walk(node, drop_bits(keys, self.rate))
         alone = {
-            i: self.model.segment_alone(words[i], int(keys[i]), self.rate) for i in np.flatnonzero(node < 0).tolist()
+            i: self.model.segment_alone(words[which[i]], int(keys[i]), self.rate) for i in np.flatnonzero(node < 0).tolist()
         }
         self.met += np.bincount(node[node >= 0], minlength=len(self.met))
         held = self.ids

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -15,9 +16,9 @@ from tokenizers import Tokenizer
 
 import check
 import corpus_pipeline
-from evidence_lake.llm import decontamination, exact_dedup, near_dedup, queries, secrets, toxicity
+from evidence_lake.llm import decontamination, exact_dedup, near_dedup, piece_dropout, queries, secrets, toxicity
 from evidence_lake.llm.components import components
-from evidence_lake.llm.piece_dropout import UNITS, Encoder, PieceModel, drop_bits, keyed
+from evidence_lake.llm.piece_dropout import UNITS, Encoder, PieceModel, drop_bits, keyed, units_of
 from evidence_lake.llm.ragged import PairTable, merge
 from evidence_lake.llm.token_files import WordIds, from_planes, lowered, pack_chunk, to_planes, unpack_chunk
 
@@ -295,6 +296,22 @@ def test_dropout_equals_scalar_agenda(spark):
             assert np.frombuffer(code, "<i4").tolist() == want
 
 
+def test_units_and_decoding_of_many_texts_at_once(monkeypatch):
+    rng = random.Random(4)
+    odd = ["", " ", "\n", "▁", *("".join(rng.choice("  \n▁aé漢🙂") for _ in range(rng.randint(0, 12))) for _ in range(3000))]
+    units, sizes = units_of(odd)
+    expected = [UNITS(" " + t) if t else [] for t in odd]
+    assert units.to_pylist() == [u for part in expected for u in part]
+    assert sizes.tolist() == list(map(len, expected))
+    assert len(units_of([])[0]) == len(units_of([""])[0]) == 0
+    # Pieces are turned to bytes so many at once, wherever a text ends; lists may be a part of longer ones.
+    monkeypatch.setattr(piece_dropout, "DECODE_PIECES", 3)
+    model = PieceModel(PIECES)
+    lists = pa.array([[1, 2, 300], None, [], [259, 5000, 31000, 200], [4] * 7], pa.list_(pa.int32()))
+    for part in (lists, lists.slice(2), lists.slice(1, 0)):
+        assert model.decode_all(part) == [None if p is None else model.decode(p) for p in part.to_pylist()]
+
+
 def test_dropout_varies_by_document_and_place():
     kinds = {c for c in Encoder(PIECES, 1, 0.1).encode(["international"] * 100, list(range(100)))}
     assert len(kinds) > 6
